@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, secret_scan, url_filters
+from . import context_tree, decontaminate, mixing, quality_rules, secret_scan, simhash, substring_dedup, url_filters
 from .common import table
 
 
@@ -27,5 +27,21 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_secret_scan, op4_url_filter, op6_quality_rules)}
+def op3_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.report(table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_secret_scan, op3_context_tree_score, op4_url_filter, op6_quality_rules, op7_substring_dedup, op8_simhash_near_dedup, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {"op4_url_filter": url_filters.ORACLE_SQL}
