@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, decontaminate, mixing, quality_rules, secret_scan, simhash, substring_dedup, url_filters
+from . import context_tree, decontaminate, html_extract, mixing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, url_filters
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.report(table(spark, sf_dir, "pages"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -39,9 +43,13 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.report(table(spark, sf_dir, "pages"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_secret_scan, op3_context_tree_score, op4_url_filter, op6_quality_rules, op7_substring_dedup, op8_simhash_near_dedup, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_secret_scan, op3_context_tree_score, op4_url_filter, op5_quality_classifier, op6_quality_rules, op7_substring_dedup, op8_simhash_near_dedup, op9_html_extraction, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {"op4_url_filter": url_filters.ORACLE_SQL}
