@@ -110,7 +110,8 @@ def slots(goals: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int =
     c = counted.withColumn("run", run).withColumn("at", F.coalesce(F.sum("count").over(W.partitionBy("rank", "run").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     r = counted.groupBy("rank", run.alias("run")).agg(F.sum("count").alias("s"))
     r = r.withColumn("run_at", F.coalesce(F.sum("s").over(W.partitionBy("rank").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("s")
-    c = c.join(r, ["rank", "run"])
+    n = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = c.join(r, ["rank", "run"]).repartition(n, "rank", "shard")  # a few rows become many slots, so they are spread first
     n_blocks = F.ceil(F.col("source_size") / block).cast("long")
     s = c.where("count > 0").withColumn("n_blocks", n_blocks).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
     s = s.withColumn("j", F.col("at") + F.col("run_at") + F.col("slot")).where(F.col("j") < most * F.col("n_blocks"))
@@ -127,7 +128,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
     took, cut = slots(goals, block, shard, seed, most), blocks(pack(sized, block), block)
     ranks = goals.select(F.col("source").alias("_source"), F.col("rank").alias("_rank"))
     cut = cut.join(F.broadcast(ranks), cut["source"].eqNullSafe(ranks["_source"])).drop("source", "_source")  # a row a source
-    picks = took.join(cut, (took["rank"] == cut["_rank"]) & (took["index"] == cut["index"])).select("shard", "slot", "source", took["index"], "epoch", "doc_id", "piece_from", "piece_words")
+    picks = took.hint("merge").join(cut, (took["rank"] == cut["_rank"]) & (took["index"] == cut["index"])).select("shard", "slot", "source", took["index"], "epoch", "doc_id", "piece_from", "piece_words")  # both sides grow with the input: never broadcast
     return sized, goals, picks
 
 
