@@ -3,7 +3,7 @@
 Pages are parsed into elements. What a tag, role, id or class marks as furniture (menus, headers, footers, sidebars,
 notices, adverts, forms, comments ...) goes. Every other element's subtree is hashed (tag, text and children); the
 hashes are counted per host in Spark, and a subtree that recurs on SHARE of a host's pages, PAGES at least, is the
-site's template and is deleted. Inside an article or main element single text blocks are never taken for
+site's template and is deleted. Inside an article or main element text blocks, lists and tables are never taken for
 templates, so a sentence that many articles share stays. If a page has an article or main, its text is all that
 counts.
 
@@ -54,7 +54,7 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTR = re.compile(r"(?:^|\s)(id|class|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
-TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote td th dd dt figcaption b i em strong a span code br".split())
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table tbody thead tr td th figure figcaption hr img b i em strong a span code br".split())
 
 
 def furniture(tag: str, attrs: str, inside: bool) -> bool:

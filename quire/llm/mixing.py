@@ -10,7 +10,8 @@ Weights 5, 2, 1 repeat over the sources by code point, null last. A source's tar
 size; the excess is reshared by weight among the others until none is above.
 
 Cases: null or empty text has size 0, packs nothing and takes nothing, yet keeps its row. A null source is a
-source of its own. Repeated document rows each pack their own words; extra columns are left out of the plan.
+source of its own. Repeated document rows each pack their own words, and the
+report shows each of them what their id gave in all; extra columns are left out of the plan.
 All draws are hashes of (seed, shard, slot), so reruns agree however rows are partitioned. Empty in, empty out.
 """
 
@@ -94,7 +95,8 @@ def slots(goals: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int =
     g = goals.where("target > 0").withColumn("p", F.col("target") / F.sum("target").over(grand)).withColumn("n_slots", F.round(F.sum("target").over(grand) / block).cast("long"))
     # a shard's count of a source: floor(n p), and the rest drawn from the fractional parts
     n_shards = F.ceil(F.col("n_slots") / shard)
-    each = g.withColumn("shard", F.explode(F.when(n_shards > 0, F.sequence(F.lit(0).cast("long"), n_shards - 1))))
+    each = g.withColumn("n_shards", n_shards).where("n_shards > 0").withColumn("kilo", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_shards") - 1) / 1024))))
+    each = each.withColumn("shard", F.explode(F.sequence(F.col("kilo") * 1024, F.least(F.col("kilo") * 1024 + 1023, F.col("n_shards") - 1))))  # in two steps: no row holds all shards
     n = F.least(F.lit(shard), F.col("n_slots") - F.col("shard") * shard)
     order = W.partitionBy("shard").orderBy("rank")
     all_of = W.partitionBy("shard")
