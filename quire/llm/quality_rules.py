@@ -117,3 +117,29 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     cuts = cuts.withColumnRenamed("stratum", "_stratum")
     out = found.join(F.broadcast(cuts), found["stratum"].eqNullSafe(cuts["_stratum"]), "left").drop("_stratum")  # a row a stratum
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & passed)
+
+
+def oracle_sql() -> str:
+    """The contract's columns in DuckDB SQL, thresholds included, for stratum lang and the default parameters."""
+    cells = ", ".join(f"('{r}', {i}, {x})" for r, g in GRIDS.items() for i, x in enumerate(g))
+    share = ALPHA / len(GRIDS)
+    ratio = "CASE rule WHEN 'symbol_ratio' THEN CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END WHEN 'upper_ratio' THEN CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0 END WHEN 'dup_line_ratio' THEN CASE WHEN n_words > 0 THEN n_dup_lines / n_words * 10 ELSE 0 END ELSE CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END END"
+    word = r"[^\x20\x09-\x0D]"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}+') AS w FROM documents),
+g AS (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+c AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM g) WHERE n > 1),
+v AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM c) GROUP BY r),
+l AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{word}') GROUP BY r),
+m AS (SELECT d.r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS BIGINT) AS n_upper, CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(v.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN v USING (r) LEFT JOIN l USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+cell(rule, step, cutoff) AS (VALUES {cells}),
+h AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+k AS (SELECT lang, rule, step, cutoff, count(*) AS n, count(*) FILTER ({ratio} > cutoff) AS k FROM h, cell GROUP BY ALL),
+z AS (SELECT *, CASE WHEN k > n * {share} THEN FALSE ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share}))))
+  <= {DELTA} / ({len(GRIDS)} * (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM h)) END AS ok FROM k),
+y AS (SELECT lang, rule, min(cutoff) AS cutoff FROM (SELECT *, bool_and(ok) OVER (PARTITION BY lang, rule ORDER BY step) AS held FROM z) WHERE held GROUP BY ALL),
+x AS (SELECT b.r, bool_or({ratio} > cutoff) AS bad FROM b JOIN y ON b.lang IS NOT DISTINCT FROM y.lang GROUP BY b.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad, FALSE) AS kept FROM b LEFT JOIN x USING (r)
+"""
