@@ -21,15 +21,11 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set under the warehouse only where the cluster names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quire_shared"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The folder that driver and executors share; a folder of the warehouse only where the cluster names none."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quire_shared"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     Cuts the lineage the way checkpoint() does, but keeps columns prunable, and survives lost executors
@@ -37,7 +33,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
