@@ -12,6 +12,8 @@ import re
 import zlib
 from dataclasses import dataclass, field
 
+from .aes import Aes, unpad
+
 
 class Name(str):
     __slots__ = ()
@@ -314,7 +316,7 @@ def decode(data: bytes, chain: list[tuple[str, dict]]) -> bytes:
     return data
 
 
-# --- encryption (RC4; security handler revisions 2 to 4) ---
+# --- encryption (security handler revisions 2 to 6) ---
 
 #: Fixed value of the PDF format.
 PAD = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
@@ -339,14 +341,18 @@ class Security:
 
     def __init__(self, e: dict, doc_id: bytes, password: bytes):
         self.revision, self.permissions = e.get("R", 0), e.get("P", 0)
-        if e.get("Filter") != "Standard" or self.revision not in (2, 3, 4) or e.get("V") not in (1, 2, 4):
+        v = e.get("V")
+        if e.get("Filter") != "Standard" or (v, self.revision) not in ((1, 2), (1, 3), (2, 2), (2, 3), (4, 4), (5, 5), (5, 6)):
+            raise PdfError("encryption:unsupported")
+        method = lambda k: e.get("CF", {}).get(e.get(k, "Identity"), {}).get("CFM", "None") if v >= 4 else "V2"
+        self.streams, self.strings = method("StmF"), method("StrF")
+        if not {self.streams, self.strings} <= {"V2", "AESV2", "AESV3", "None"}:
             raise PdfError("encryption:unsupported")
-        if e.get("V") == 4:
-            method = e.get("CF", {}).get(e.get("StmF", "Identity"), {}).get("CFM", "Identity")
-            if method not in ("V2", "Identity", "None"):
-                raise PdfError("encryption:unsupported")
-        self.n = 5 if self.revision == 2 else e.get("Length", 128 if e.get("V") == 4 else 40) // 8
         self.metadata = e.get("EncryptMetadata", True)
+        if v == 5:
+            self._modern(e, password[:127])
+            return
+        self.n = 5 if self.revision == 2 else 16 if v == 4 else e.get("Length", 40) // 8
         self.o, self.u, self.id = e["O"][:32], e["U"][:32], doc_id
         owner = hashlib.md5((password + PAD)[:32]).digest()
         for _ in range(50 if self.revision > 2 else 0):
@@ -360,6 +366,31 @@ class Security:
                 return
         raise PdfError("encryption:password")
 
+    def _modern(self, e: dict, password: bytes) -> None:
+        """Revisions 5 and 6: the owner is tried before the user; the permissions must agree with their sealed copy."""
+        o, u = e["O"][:48], e["U"][:48]
+        for self.role, own, more, sealed in (("owner", o, u, e["OE"]), ("user", u, b"", e["UE"])):
+            if self.hash(password, own[32:40], more) == own[:32]:
+                self.key = Aes(self.hash(password, own[40:48], more)).decrypt(sealed[:32], bytes(16))
+                break
+        else:
+            raise PdfError("encryption:password")
+        perms = Aes(self.key).decrypt_block(e["Perms"][:16])
+        if perms[9:12] != b"adb" or perms[:4] != (self.permissions & 0xFFFFFFFF).to_bytes(4, "little"):
+            raise PdfError("encryption:permissions")
+
+    def hash(self, password: bytes, salt: bytes, more: bytes) -> bytes:
+        k = hashlib.sha256(password + salt + more).digest()
+        if self.revision == 5:
+            return k
+        i = 0
+        while True:
+            e = Aes(k[:16]).encrypt((password + k + more) * 64, k[16:32])
+            k = (hashlib.sha256, hashlib.sha384, hashlib.sha512)[sum(e[:16]) % 3](e).digest()
+            i += 1
+            if i >= 64 and e[-1] <= i - 32:
+                return k[:32]
+
     def file_key(self, password: bytes) -> bytes:
         seed = (password + PAD)[:32] + self.o + (self.permissions & 0xFFFFFFFF).to_bytes(4, "little") + self.id
         if self.revision >= 4 and not self.metadata:
@@ -381,9 +412,14 @@ class Security:
         n = 32 if self.revision == 2 else 16
         return self.check()[:n] == self.u[:n]
 
-    def decrypt(self, data: bytes, num: int, gen: int) -> bytes:
-        key = hashlib.md5(self.key + num.to_bytes(3, "little") + gen.to_bytes(2, "little")).digest()
-        return rc4(key[: min(self.n + 5, 16)], data)
+    def decrypt(self, data: bytes, num: int, gen: int, stream: bool = False) -> bytes:
+        method = self.streams if stream else self.strings
+        if method == "None":
+            return data
+        if method == "AESV3":
+            return unpad(Aes(self.key).decrypt(data[16:], data[:16]))
+        key = hashlib.md5(self.key + num.to_bytes(3, "little") + gen.to_bytes(2, "little") + (b"sAlT" if method == "AESV2" else b"")).digest()[: min(self.n + 5, 16)]
+        return unpad(Aes(key).decrypt(data[16:], data[:16])) if method == "AESV2" else rc4(key, data)
 
 
 # --- documents ---
@@ -422,7 +458,8 @@ class Document:
         if isinstance(e := doc.get(doc.trailer.get("Encrypt")), dict):
             ids = doc.get(doc.trailer.get("ID"))
             first = doc.get(ids[0]) if isinstance(ids, list) and ids else b""
-            doc.security = Security({k: doc.get(v) for k, v in e.items()}, first if isinstance(first, bytes) else b"", password)
+            deep = lambda v: {k: deep(x) for k, x in v.items()} if isinstance(v := doc.get(v), dict) else v
+            doc.security = Security(deep(e), first if isinstance(first, bytes) else b"", password)
             doc._cache.clear()
         if not isinstance(doc.get(doc.trailer.get("Root")), dict):
             raise PdfError("no-root")
@@ -576,7 +613,7 @@ class Document:
         if isinstance(v, dict):
             return {k: self._decrypted(x, num, gen) for k, x in v.items()}
         if isinstance(v, Stream) and not v.plain:
-            return Stream(self._decrypted(v.dict, num, gen), self.security.decrypt(v.raw, num, gen), True)
+            return Stream(self._decrypted(v.dict, num, gen), self.security.decrypt(v.raw, num, gen, True), True)
         return v
 
     def decoded(self, s: Stream) -> bytes:

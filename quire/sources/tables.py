@@ -214,11 +214,14 @@ def _mul(m, n):
 
 
 IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
-START = {"ctm": IDENTITY, "font": None, "name": "", "size": 0.0, "Tc": 0.0, "Tw": 0.0, "Tz": 1.0, "TL": 0.0, "Ts": 0.0, "Tr": 0}
+START = {"ctm": IDENTITY, "font": None, "name": "", "size": 0.0, "Tc": 0.0, "Tw": 0.0, "Tz": 1.0, "TL": 0.0, "Ts": 0.0, "Tr": 0, "width": 1.0}
+PATH = frozenset("m l c v y h re".split())
+#: Painting operators: fill, stroke and fill rule.
+PAINT = {"S": (False, True, None), "s": (False, True, None), "f": (True, False, "nonzero"), "F": (True, False, "nonzero"), "f*": (True, False, "evenodd"), "B": (True, True, "nonzero"), "B*": (True, True, "evenodd"), "b": (True, True, "nonzero"), "b*": (True, True, "evenodd"), "n": (False, False, None)}
 
 
 class Events:
-    """Runs a page's operators over a graphics state and yields events: ("text", ...) and ("image", ...)."""
+    """Runs a page's operators over a graphics state and yields events: ("text", ...), ("path", ...) and ("image", ...)."""
 
     def __init__(self, doc: Document):
         self.doc, self.fonts = doc, {}
@@ -236,6 +239,7 @@ class Events:
 
     def run(self, body: bytes, page: dict, ctm=IDENTITY, depth: int = 0):
         s, stack = {**START, "ctm": ctm}, []
+        path: list[tuple[str, list[float]]] = []
         tm = tlm = IDENTITY
         for op, a in operators(body):
             try:
@@ -245,6 +249,24 @@ class Events:
                     s = stack.pop() if stack else s
                 elif op == "cm":
                     s["ctm"] = _mul(tuple(map(float, a[:6])), s["ctm"])
+                elif op in PATH:
+                    points = [float(v) for v in a]
+                    if op == "re":
+                        x, y, dx, dy = points
+                        path += [("m", [x, y]), ("l", [x + dx, y]), ("l", [x + dx, y + dy]), ("l", [x, y + dy]), ("h", [])]
+                    elif op in ("v", "y"):  # a control point that is the current point, or the end
+                        path.append(("c", [*path[-1][1][-2:], *points] if op == "v" else [*points, *points[-2:]]))
+                    else:
+                        path.append((op, points))
+                elif op in PAINT:
+                    if path and op != "n":
+                        fill, stroke, rule = PAINT[op]
+                        if op in "sbb*" and path[-1][0] != "h":
+                            path.append(("h", []))
+                        yield "path", (fill, stroke, rule, [{"verb": v, "points": p} for v, p in path], s["width"], list(s["ctm"]))
+                    path = []
+                elif op == "w":
+                    s["width"] = float(a[0])
                 elif op == "BT":
                     tm = tlm = IDENTITY
                 elif op == "Tf":
@@ -321,6 +343,32 @@ def pdf_images(files: DataFrame, password: str | None = None) -> DataFrame:
     return _events(files, "image", "page_index int, seq int, width int, height int, bits int, color_space string, filters array<string>, is_mask boolean, ctm array<double>", password)
 
 
+def pdf_paths(files: DataFrame, password: str | None = None) -> DataFrame:
+    """Painted paths in user space, with the matrix to page space; rectangles and shorthand curves are spelled out."""
+    ddl = "page_index int, seq int, fill boolean, stroke boolean, fill_rule string, segments array<struct<verb: string, points: array<double>>>, line_width double, ctm array<double>"
+    return _events(files, "path", ddl, password)
+
+
+def page_svg(files: DataFrame, password: str | None = None) -> DataFrame:
+    """doc_id, page_index and an SVG of the page's paths and text, put together from their rows by DataFrame operations."""
+    from ..functions.geometry import page_size
+
+    n = lambda c: F.format_string("%.2f", c)
+    m = F.concat(F.lit("matrix("), F.array_join(F.transform("ctm", lambda v: F.format_string("%.4f", v)), " "), F.lit(")"))
+    d = F.array_join(F.transform("segments", lambda x: F.concat(F.when(x["verb"] == "h", "Z").otherwise(F.upper(x["verb"])), F.array_join(F.transform(x["points"], lambda v: F.format_string("%.2f", v)), " "))), "")
+    shape = F.concat(F.lit('<path d="'), d, F.lit('" transform="'), m, F.when(F.col("fill"), F.lit('" fill-rule="')).otherwise(F.lit('" fill="')), F.coalesce("fill_rule", F.lit("none")), F.when(F.col("stroke"), F.lit('" stroke="#000000"/>')).otherwise(F.lit('"/>')))
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    word = F.concat(F.lit('<text transform="translate('), n("x"), F.lit(" "), n("y"), F.lit(') scale(1 -1)" font-size="'), n("size"), F.lit('">'), escaped, F.lit("</text>"))
+    parts = pdf_paths(files, password).select("doc_id", "page_index", F.lit(0).alias("layer"), "seq", shape.alias("e"))
+    parts = parts.unionByName(pdf_text_runs(files, password).where("render_mode <> 3").select("doc_id", "page_index", F.lit(1).alias("layer"), "seq", word.alias("e")))
+    body = parts.groupBy("doc_id", "page_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("layer", "seq", "e"))), lambda x: x["e"]), "").alias("body"))  # a page's own elements
+    box = F.col("crop_box")
+    w, h = page_size([box[i] for i in range(4)], F.lit(0), F.lit(1.0))
+    pages = pdf_pages(files, password).select("doc_id", "page_index", n(w).alias("w"), n(h).alias("h"), n(-box[0]).alias("x"), n(box[3]).alias("y"))
+    svg = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="'), "w", F.lit('" height="'), "h", F.lit('"><g transform="matrix(1 0 0 -1 '), "x", F.lit(" "), "y", F.lit(')">'), F.coalesce("body", F.lit("")), F.lit("</g></svg>"))
+    return pages.join(body, ["doc_id", "page_index"], "left").select("doc_id", "page_index", svg.alias("svg"))
+
+
 def pdf_annotations(files: DataFrame, password: str | None = None) -> DataFrame:
     def rows(d: Document):
         for i, p in enumerate(d.pages()):
@@ -332,9 +380,9 @@ def pdf_annotations(files: DataFrame, password: str | None = None) -> DataFrame:
                     if isinstance(look, dict):
                         look = d.get(look.get(state)) if isinstance(state, Name) else None
                     flags, subtype = int(_number(d.get(a.get("F")))), str(d.get(a.get("Subtype")) or "")
-                    yield i, n, subtype, flags, _box(d, a, "Rect"), flags & 34 == 0 and (flags & 1 == 0 or subtype in SUBTYPES), isinstance(look, Stream), _text(d.get(a.get("Contents")))
+                    yield i, n, subtype, flags, _box(d, a, "Rect"), flags & 34 == 0 and (flags & 1 == 0 or subtype in SUBTYPES), isinstance(look, Stream), _text(d.get(a.get("Contents"))), _text(d.get((d.get(a.get("A")) or {}).get("URI")))
 
-    return _table(files, "page_index int, annot_index int, subtype string, flags long, rect array<double>, visible boolean, has_appearance boolean, contents string", rows, password)
+    return _table(files, "page_index int, annot_index int, subtype string, flags long, rect array<double>, visible boolean, has_appearance boolean, contents string, uri string", rows, password)
 
 
 def pdf_ocgs(files: DataFrame, password: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from quire.streaming import arrivals
 
 def sample() -> bytes:
     font = {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Helvetica"), "FirstChar": 32, "Widths": [250] * 95, "Encoding": {"Differences": [1, Name("uni0416")]}}
-    content = b"/Span <</MCID 3>> BDC BT /F 10 Tf 1 0 0 1 100 200 Tm [(AB) -100 (C)] TJ T* 5 Ts (\\001) Tj ET EMC q 2 0 0 2 0 0 cm /X Do Q /I Do BI /W 2 /H 3 /BPC 1 ID xx EI"
+    content = b"0 0 10 20 re f 1 1 m 2 2 3 3 v s /Span <</MCID 3>> BDC BT /F 10 Tf 1 0 0 1 100 200 Tm [(AB) -100 (C)] TJ T* 5 Ts (\\001) Tj ET EMC q 2 0 0 2 0 0 cm /X Do Q /I Do BI /W 2 /H 3 /BPC 1 ID xx EI"
     form = Stream({"Type": Name("XObject"), "Subtype": Name("Form"), "Matrix": [1, 0, 0, 1, 7, 0]}, b"BT /F 5 Tf (in) Tj ET /X Do")
     objects = {
         1: {"Type": Name("Catalog"), "Pages": Ref(2, 0), "OCProperties": {"OCGs": [Ref(8, 0), Ref(9, 0)], "D": {"BaseState": Name("OFF"), "ON": [Ref(8, 0), Ref(9, 0)], "OFF": [Ref(9, 0)]}}},
@@ -41,6 +41,10 @@ def test_tables(spark):
     assert (runs[2].x, runs[2].size) == (14.0, 5.0) and len(runs) <= 60  # the form that calls itself ends
     images = t.pdf_images(f).collect()
     assert sorted((i.width, i.height) for i in images) == [(2, 3), (4, 5)]
+    paths = t.pdf_paths(f).orderBy("seq").collect()
+    assert [(p.fill, p.stroke, "".join(x.verb for x in p.segments)) for p in paths] == [(True, False, "mlllh"), (False, True, "mch")] and paths[1].segments[1].points == [1, 1, 2, 2, 3, 3]
+    svg = t.page_svg(f).first().svg
+    assert svg.count("<path") == 2 and ">ABC</text>" in svg and 'height="400.00"' in svg
     page = t.pdf_pages(f).first()
     assert page.media_box == [0, 0, 300, 400] and page.rotate == 90
     a = t.pdf_annotations(f).first()
