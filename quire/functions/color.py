@@ -69,3 +69,20 @@ def color_key_opaque(samples: Sequence[Column], ranges: Sequence[tuple[int, int]
     for s, (lo, hi) in zip(samples, ranges, strict=True):
         inside = inside & s.between(lo, hi)
     return F.when(inside, 0).otherwise(255)
+
+
+def premultiply(c: Column, alpha: Column) -> Column:
+    return c * alpha
+
+
+def unmatte(c: Column, matte: float, alpha: Column) -> Column:
+    """Undoes blending with a matte: m + (c - m) / alpha, clamped; the matte itself where alpha is zero."""
+    return clamp(F.coalesce(matte + F.try_divide(c - matte, alpha), F.lit(matte)), 0, 1)
+
+
+def unpack(data: Column, bits: int, count: int) -> Column:
+    """The first `count` samples of `bits` bits (1, 2, 4 or 8) of a row of bytes; missing bytes are zero."""
+    per = 8 // bits
+    byte = lambda i: F.coalesce(F.conv(F.hex(F.substring(data, F.floor(i / per).cast("int") + 1, F.lit(1))), 16, 10).cast("int"), F.lit(0))
+    part = lambda i: F.floor(byte(i) / F.pow(F.lit(2), (per - 1 - i % per) * bits)).cast("int") % (1 << bits)
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), part)

@@ -307,3 +307,73 @@ def glyph_advances(spark, d):
 def dict_projection(spark, d):
     e = t(spark, d, "events").withColumn("v", F.try_parse_json("props"))
     return e.select("event_id", F.expr("try_variant_get(v, '$.k', 'string')").alias("page"), F.expr("variant_get(v, '$.k') IS NOT NULL").alias("has_page"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity >= 25 AS crossed FROM lineitem")
+def segment_crossing(spark, d):
+    """A vertical segment up to l_quantity against a level one at 25."""
+    n = lambda v: F.lit(float(v))
+    c = geometry.segments_cross((n(5), n(0)), (n(5), F.col("l_quantity")), (n(0), n(25)), (n(10), n(25)))
+    return t(spark, d, "lineitem").select(*LINE, c.alias("crossed"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS u, l_tax * 10 AS v FROM lineitem), q AS (SELECT *, 1 - u AS s, 1 - v AS w FROM p)
+SELECT l_orderkey, l_linenumber,
+  round(w * (3*s*s*u*1 + 3*s*u*u*2 + u*u*u*3) + v * (s*s*s*1 + 3*s*s*u*2 + 3*s*u*u*4 + u*u*u*5) + s * (3*w*w*v*0.5 + 3*w*v*v*0.8 + v*v*v*1) + u * (w*w*w*3 + 3*w*w*v*4 + 3*w*v*v*4 + v*v*v*5)
+    - (w * u * 3 + v * (s * 1 + u * 5)), 6) AS coons,
+  round(w*w*w * (3*s*s*u*1 + 3*s*u*u*2 + u*u*u*3) + 3*w*w*v * (s*s*s*1 + 3*s*s*u*1 + 3*s*u*u*1 + u*u*u*1) + 3*w*v*v * (3*s*s*u*4 + 3*s*u*u*4) + v*v*v * (s*s*s*2 + u*u*u*2), 6) AS tensor FROM q""")
+def shading_patches(spark, d):
+    u, v = F.col("l_discount") * 10, F.col("l_tax") * 10
+    c = geometry.coons(u, v, [0, 1, 2, 3], [1, 2, 4, 5], [0, 0.5, 0.8, 1], [3, 4, 4, 5])
+    x = geometry.tensor(u, v, [[0, 1, 2, 3], [1, 1, 1, 1], [0, 4, 4, 0], [2, 0, 0, 2]])
+    return t(spark, d, "lineitem").select(*LINE, r6(c).alias("coons"), r6(x).alias("tensor"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, sqrt(l_quantity * l_quantity + l_linenumber * l_linenumber) AS r FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN (r - 5) / 20 >= 0 AND r - 5 <= 20 THEN round((r - 5) / 20, 6) END AS s, CASE WHEN r >= 5 THEN round((r - 5) / 20, 6) END AS extended FROM p""")
+def radial_gradient(spark, d):
+    """Concentric circles of radius 5 and 25."""
+    xy = F.col("l_quantity"), F.col("l_linenumber").cast("double")
+    s = lambda e: r6(geometry.radial_parameter(*xy, (0.0, 0.0), 5.0, (0.0, 0.0), 25.0, e))
+    return t(spark, d, "lineitem").select(*LINE, s((False, False)).alias("s"), s((False, True)).alias("extended"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size <> 10 THEN round(100.0 / (p_size - 10), 6) END AS sx, CASE WHEN p_size <> 10 THEN round(50 - 10 * 100.0 / (p_size - 10), 6) END AS tx FROM part""")
+def appearance_transform(spark, d):
+    n = lambda v: F.lit(float(v))
+    m = geometry.appearance_matrix([n(10), n(0), F.col("p_size") * 1.0, n(1)], [n(50), n(0), n(150), n(2)])
+    return t(spark, d, "part").select("p_partkey", r6(m[0]).alias("sx"), r6(m[4]).alias("tx"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity - 10 >= 0 AND (l_quantity - 10 > 0 OR l_tax > 0) AS ok, round(l_discount * l_tax, 6) AS pre, round(CASE WHEN l_tax = 0 THEN 0.5 ELSE least(greatest(0.5 + (l_discount - 0.5) / l_tax, 0), 1) END, 6) AS c FROM lineitem")
+def dash_and_matte(spark, d):
+    ok = geometry.dash_valid(F.array(F.col("l_quantity") - 10, F.col("l_tax")))
+    return t(spark, d, "lineitem").select(*LINE, ok.alias("ok"), r6(color.premultiply(F.col("l_discount"), F.col("l_tax"))).alias("pre"), r6(color.unmatte(F.col("l_discount"), 0.5, F.col("l_tax"))).alias("c"))
+
+
+@query("SELECT p_partkey, CAST((p_partkey % 256) // 16 AS INTEGER) AS hi, CAST(p_partkey % 16 AS INTEGER) AS lo, CAST((p_partkey % 256) // 128 AS INTEGER) AS bit, 0 AS missing FROM part")
+def image_sample_unpack(spark, d):
+    row = F.unhex(F.lpad(F.hex(F.col("p_partkey") % 256), 2, "0"))
+    p = t(spark, d, "part").select("p_partkey", color.unpack(row, 4, 3).alias("n"), color.unpack(row, 1, 8).alias("b"))
+    return p.select("p_partkey", F.col("n")[0].alias("hi"), F.col("n")[1].alias("lo"), F.col("b")[0].alias("bit"), F.col("n")[2].alias("missing"))
+
+
+@query("""SELECT c_mktsegment, c_nationkey, coalesce(max(CASE WHEN c_custkey % 2 = 0 THEN c_name END), max(CASE WHEN c_custkey % 2 = 1 THEN c_name END)) AS name FROM customer GROUP BY ALL""")
+def encoding_merge(spark, d):
+    """Differences (even keys) over a base encoding (odd keys), code by code."""
+    c = t(spark, d, "customer")
+    side = lambda r: F.map_from_entries(F.collect_list(F.struct("c_nationkey", "c_name"))).alias(f"m{r}")
+    of = lambda r: c.where(F.col("c_custkey") % 2 == r).groupBy("c_mktsegment", "c_nationkey").agg(F.max("c_name").alias("c_name")).groupBy("c_mktsegment").agg(side(r))
+    both = of(1).join(of(0), "c_mktsegment", "full")
+    empty = F.create_map().cast("map<int,string>")
+    codes = F.array_union(F.map_keys(F.coalesce("m1", empty)), F.map_keys(F.coalesce("m0", empty)))
+    long = both.select("c_mktsegment", "m0", "m1", F.explode(codes).alias("c_nationkey"))
+    return long.select("c_mktsegment", "c_nationkey", relational.nearest(F.try_element_at("m0", F.col("c_nationkey")), F.try_element_at("m1", F.col("c_nationkey"))).alias("name"))
+
+
+@query("SELECT o_orderkey, o_custkey, page FROM (SELECT o_orderkey, o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INTEGER) AS page FROM orders) WHERE page BETWEEN 1 AND 3")
+def page_range_limit(spark, d):
+    from pyspark.sql import Window as W
+
+    page = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1
+    return t(spark, d, "orders").select("o_orderkey", "o_custkey", page.alias("page")).where("page BETWEEN 1 AND 3")
