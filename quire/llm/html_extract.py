@@ -163,14 +163,7 @@ def mark(root: Element) -> list[int]:
 
 def text_of(root: Element, templates: frozenset[int] = frozenset()) -> str:
     """The blocks of the page in order, joined by newlines. Marks are needed where there are templates."""
-    todo: list[tuple[Element, bool]] = [(root, False)]
-    main = False
-    while todo:
-        e, _ = todo.pop()
-        for x in e.parts:
-            if isinstance(x, Element) and not x.drop:
-                main = main or x.inside
-                todo.append((x, False))
+    main = any(e.inside for e in _walk(root))
     blocks: list[str] = []
     now: list[str] = []
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod
-from .substring_dedup import _mix, word_hashes
+from .hashing import mix, word_hashes
 
 TRAINING_ROWS, BITS, COST, EPOCHS, FOLDS, THRESHOLD, SMOOTH, SEED = 6000, 18, 0.1, 12, 4, 0.3, 1.0, 5
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -48,7 +48,7 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
             parts.append(s[:-1] * k + s[1:] + np.uint64(3))
         if len(s) > 2:
             parts.append((s[:-2] * k + s[1:-1]) * k + s[2:] + np.uint64(4))
-        return np.unique(_mix(np.concatenate([p.astype(np.uint64) for p in parts])) & np.uint64((1 << bits) - 1)).astype(np.int32)
+        return np.unique(mix(np.concatenate([p.astype(np.uint64) for p in parts])) & np.uint64((1 << bits) - 1)).astype(np.int32)
 
 
 def dual_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = SEED) -> np.ndarray:
