@@ -3,7 +3,8 @@
 Texts and test items are compared with A-Z lower-cased and white space runs as single spaces. An item of m
 characters may be off by k = floor(RATE * m) edits. Cut into k + 1 pieces, some piece is hit exactly wherever the
 item occurs within k edits, so an Aho-Corasick automaton over all pieces finds the places, and Myers' bit-parallel
-distance decides each of them within the item's length plus k on either side of the hit.
+distance decides each of them within the item's length plus k on either side of the hit. A hit is spared the distance
+only where it cannot be within budget: k edits leave at least m - GRAM + 1 - GRAM * k of the item's GRAM-grams.
 
 The items go to the tasks in blocks of BLOCK_CHARS characters at most, whatever the size of the benchmark; each
 block is matched against all documents.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE, MIN_CHARS, BLOCK_CHARS = 0.06, 24, 8_000_000
+RATE, MIN_CHARS, BLOCK_CHARS, GRAM = 0.1, 24, 8_000_000, 4
 NAMES = ("doc_id", "item_id", "distance", "start", "end")
 #: Fixed value: only A-Z change case, so lengths stay.
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -79,6 +80,7 @@ def match(docs: DataFrame, items: list[tuple[int, str]], rate: float = RATE) ->
         if own:
             auto.make_automaton()
         masks: dict[int, dict[str, int]] = {}
+        grams: dict[int, list[str]] = {}
         for p in parts:
             out = []
             for doc_id, raw in zip(p.column("doc_id").to_pylist(), p.column("text"), strict=True):
@@ -101,11 +103,16 @@ def match(docs: DataFrame, items: list[tuple[int, str]], rate: float = RATE) ->
                         masks[n] = {}
                         for i, c in enumerate(item):
                             masks[n][c] = masks[n].get(c, 0) | 1 << i
+                        grams[n] = [item[i : i + GRAM] for i in range(len(item) - GRAM + 1)]
                     best = None
                     for begin, stop in spans:
-                        begin = max(begin, 0)
-                        d, end = myers(item, masks[n], text[begin:stop])
-                        if d <= int(rate * len(item)) and (best is None or (d, begin + end) < best):
+                        begin, k = max(begin, 0), int(rate * len(item))
+                        part = text[begin:stop]
+                        there = {part[i : i + GRAM] for i in range(len(part) - GRAM + 1)}
+                        if sum(g in there for g in grams[n]) < len(grams[n]) - GRAM * k:
+                            continue
+                        d, end = myers(item, masks[n], part)
+                        if d <= k and (best is None or (d, begin + end) < best):
                             best = (d, begin + end)
                     if best:
                         out.append((doc_id, item_id, best[0], max(best[1] - len(item), 0), best[1]))
