@@ -25,9 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .url_filters import host_of
 
 SHARE, PAGES = 0.3, 5
+#: The pages of a host are dealt to so many tasks, each of which gets the host's bounded list.
+SALTS = 64
 #: Fixed values of HTML: elements that are never closed, whose content is raw, that break text into blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|textarea|iframe|svg|math|title|select|object|canvas|video|audio"
@@ -213,7 +216,7 @@ def templates(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> Dat
             count = [1] * len(hosts) + list(n.values())
             yield pa.RecordBatch.from_arrays([pa.array(hosts + list(n), pa.string()), pa.array(marks + [0] * len(n), pa.int64()), pa.array(count, pa.int64())], ["host", "mark", "n"])  # mark 0 counts pages
 
-    found = pages.select("host", "html").mapInArrow(run, "host string, mark long, n long").groupBy("host", "mark").agg(F.sum("n").alias("n"))
+    found = materialize(pages.select("host", "html").mapInArrow(run, "host string, mark long, n long").groupBy("host", "mark").agg(F.sum("n").alias("n")), "subtrees")
     size = found.where("mark = 0").select("host", F.col("n").alias("pages"))
     often = found.where("mark <> 0").where(F.col("n") >= least).join(size, "host").where(F.col("n") >= share * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list("mark").alias("templates"))  # bounded, see above
@@ -222,7 +225,8 @@ def templates(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> Dat
 def extract(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:
     """page_id, url, text for every page row."""
     hosted = pages.select("page_id", "url", "html", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"))
-    joined = hosted.join(templates(hosted, share, least), "host", "left").select("page_id", "url", "html", "templates")
+    spread = templates(hosted, share, least).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = hosted.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "templates")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
