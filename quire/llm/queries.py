@@ -52,4 +52,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_secret_scan, op3_context_tree_score, op4_url_filter, op5_quality_classifier, op6_quality_rules, op7_substring_dedup, op8_simhash_near_dedup, op9_html_extraction, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {"op4_url_filter": url_filters.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_url_filter": url_filters.ORACLE_SQL, "op6_quality_rules": quality_rules.oracle_sql(), "op7_substring_dedup": substring_dedup.ORACLE_SQL}

@@ -28,35 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .hashing import mix, word_hashes
 
-WINDOW, RUN, BITS, CHUNK = 13, 5, 27, 4_000_000
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash) of each word; a polynomial hash from prefix sums modulo 2**64, mixed with the length."""
-    b = np.frombuffer(text, dtype=np.uint8)
-    inside = np.concatenate([[False], ~((b == 32) | ((b >= 9) & (b <= 13))), [False]])
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return start, end, start.astype(np.uint64)
-    with np.errstate(over="ignore"):
-        power = np.full(len(b), _ODD, dtype=np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        back = np.full(len(b), np.uint64(pow(int(_ODD), -1, 1 << 64)), dtype=np.uint64)
-        back[0] = 1
-        np.multiply.accumulate(back, out=back)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)])
-        h = (total[end] - total[start]) * back[start]
-        return start, end, _mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+WINDOW, RUN, BITS = 13, 5, 27
 
 
 def minimizers(words: np.ndarray) -> np.ndarray:
@@ -68,7 +42,7 @@ def minimizers(words: np.ndarray) -> np.ndarray:
         g = np.zeros(len(words) - RUN + 1, dtype=np.uint64)
         for i in range(RUN):
             g = g * np.uint64(0x100000001B3) + words[i : len(words) - RUN + 1 + i]
-        g = _mix(g)
+        g = mix(g)
     span = WINDOW - RUN + 1
     best = g[: n].copy()
     for i in range(1, span):
@@ -112,16 +86,16 @@ def shared_bitmap(docs: DataFrame, bits: int = BITS) -> np.ndarray:
 
 
 def passages(docs: DataFrame, bitmap: np.ndarray, bits: int = BITS) -> DataFrame:
-    """(h, passage, doc_id, text_key, first): maximal runs of windows under one shared minimizer, as text."""
+    """(h, passage, doc_id, text_key, first, n): maximal runs of n of windows under one shared minimizer, as text."""
     spread = docs.sparkSession.sparkContext.broadcast(bitmap)
-    schema = pa.schema([("h", pa.int64()), ("passage", pa.string()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("first", pa.int64())])
+    schema = pa.schema([("h", pa.int64()), ("passage", pa.string()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("first", pa.int64()), ("n", pa.int32())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         shared = spread.value
         for p in parts:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for doc_id, text in _texts(p):
                 start, end, words = word_hashes(text)
                 h = minimizers(words)
@@ -141,13 +115,14 @@ def passages(docs: DataFrame, bitmap: np.ndarray, bits: int = BITS) -> DataFrame
                     out[2].append(doc_id)
                     out[3].append(key)
                     out[4].append(a)
+                    out[5].append(b - a)
                 if len(out[0]) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema, strict=True)], schema=schema)
-                    out = [[], [], [], [], []]
+                    out = [[], [], [], [], [], []]
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema, strict=True)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h long, passage string, doc_id long, text_key long, first long")
+    return docs.select("doc_id", "text").mapInArrow(run, "h long, passage string, doc_id long, text_key long, first long, n int")
 
 
 class SuffixAutomaton:
@@ -221,12 +196,41 @@ def _covered(auto: SuffixAutomaton, words: list[str]) -> list[int]:
     return [i - WINDOW + 1 for i, n in enumerate(auto.statistics(words)) if n >= WINDOW]
 
 
-def owners(distinct: DataFrame) -> DataFrame:
-    """(h, passage_key, owner, windows): windows of a distinct passage, as first met in its owner, that earlier documents have."""
-    schema = pa.schema([("h", pa.int64()), ("passage_key", pa.int64()), ("windows", pa.list_(pa.int32()))])
+def _combined(found: DataFrame, rows: int = 200_000) -> DataFrame:
+    """found's (h, passage_key, passage) with their least doc_id, one row for each in every `rows` rows of a task: copies
+    are folded before anything is shuffled."""
+    schema = pa.schema([("h", pa.int64()), ("passage_key", pa.int64()), ("owner", pa.int64()), ("passage", pa.string())])
 
-    def shard(h: int, rows: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, list[int]]]:
-        """rows: (owner, key, passage) by owner."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(best: dict) -> pa.RecordBatch:
+            h, key, owner, passage = zip(*((*k, *v) for k, v in best.items()), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip((h, key, owner, passage), schema, strict=True)], schema=schema)
+
+        best: dict[tuple[int, int], tuple[int, str]] = {}
+        for p in parts:
+            for h, key, doc_id, passage in zip(*(p.column(c).to_pylist() for c in ("h", "passage_key", "doc_id", "passage")), strict=True):
+                old = best.get((h, key))
+                if old is None or doc_id < old[0]:
+                    best[h, key] = doc_id, passage
+            if len(best) > rows:
+                yield flush(best)
+                best = {}
+        if best:
+            yield flush(best)
+
+    return found.select("h", "passage_key", "doc_id", "passage").mapInArrow(run, "h long, passage_key long, owner long, passage string")
+
+
+def owners(found: DataFrame) -> DataFrame:
+    """(h, passage_key, owner, windows) for every distinct passage: the least doc_id that has it, and those of its windows
+    that documents before that one have too (null: none). One shuffle, by minimizer."""
+    schema = pa.schema([("h", pa.int64()), ("passage_key", pa.int64()), ("owner", pa.int64()), ("windows", pa.list_(pa.int32()))])
+
+    def shard(h: int, rows: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, int, list[int] | None]]:
+        """rows: (owner, key, passage) by owner. A passage alone shares no window."""
+        if len(rows) == 1:
+            yield h, rows[0][1], rows[0][0], None
+            return
         auto, waiting, now = SuffixAutomaton(), [], None
         for owner, key, passage in rows:
             if owner != now:
@@ -234,41 +238,38 @@ def owners(distinct: DataFrame) -> DataFrame:
                     auto.add(w)
                 waiting, now = [], owner
             words = passage.encode("utf-8", "surrogatepass").split()
-            if len(auto.next) > 1 and (found := _covered(auto, words)):
-                yield h, key, found
+            yield h, key, owner, (_covered(auto, words) or None) if len(auto.next) > 1 else None
             waiting.append(words)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, list[int]]] = []
+        out: list[tuple] = []
         now, rows = None, []
         for p in parts:
             for h, owner, key, passage in zip(*(p.column(c).to_pylist() for c in ("h", "owner", "passage_key", "passage")), strict=True):
                 if h != now:
-                    if len(rows) > 1:
+                    if rows:
                         out += shard(now, rows)
                     now, rows = h, []
                 rows.append((owner, key, passage))
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
                 out = []
-        if len(rows) > 1:
+        if rows:
             out += shard(now, rows)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return distinct.repartition("h").sortWithinPartitions("h", "owner").mapInArrow(run, "h long, passage_key long, windows array<int>")
+    distinct = _combined(found).repartition("h").groupBy("h", "passage_key").agg(F.min("owner").alias("owner"), F.min("passage").alias("passage"))
+    ddl = "h long, passage_key long, owner long, windows array<int>"
+    return distinct.sortWithinPartitions("h", "owner", "passage_key").mapInArrow(run, ddl)
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, starts, ends): the covered spans of words of each document text that has any."""
     docs = docs.select("doc_id", "text")
-    found = materialize(passages(docs, shared_bitmap(docs)).withColumn("passage_key", F.xxhash64("passage")), "passages")
+    found = materialize(passages(docs, shared_bitmap(docs)).withColumn("passage_key", F.xxhash64("passage")), "passages", "zstd")
     # passage_key and h make 128 bits
-    distinct = found.groupBy("h", "passage_key").agg(F.min("doc_id").alias("owner"), F.min("passage").alias("passage"))
-    distinct = materialize(distinct, "distinct_passages")
-    verdict = distinct.select("h", "passage_key", "owner").join(owners(distinct), ["h", "passage_key"], "left")
-    n = F.size(F.split("passage", " ")) - WINDOW + 1
-    seen = found.select("h", "passage_key", "doc_id", "text_key", "first", n.alias("n")).join(verdict, ["h", "passage_key"])
+    seen = found.select("h", "passage_key", "doc_id", "text_key", "first", "n").join(owners(found), ["h", "passage_key"])
     whole = F.struct(F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + WINDOW).alias("b"))
     some = F.transform("windows", lambda i: F.struct((F.col("first") + i).alias("a"), (F.col("first") + i + WINDOW).alias("b")))
     covers = F.when(F.col("doc_id") > F.col("owner"), F.array(whole)).when(F.col("windows").isNotNull(), some)
@@ -307,3 +308,14 @@ def _with_text_key(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     return deduplicate(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+o AS (SELECT s, min(doc_id) AS owner FROM g GROUP BY s),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM g JOIN o USING (s) WHERE owner < doc_id),
+x AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM x ANTI JOIN c USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
