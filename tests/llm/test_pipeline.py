@@ -42,3 +42,51 @@ def test_sql(spark, sf, name):
     cur = c.execute(queries.ORACLE_SQL[name])
     names = [x[0] for x in cur.description]
     assert sorted(tuple(str(r[x]) for x in columns) for r in df.collect()) == sorted(tuple(str(r[names.index(x)]) for x in columns) for r in cur.fetchall())
+
+
+def test_near_duplicates_by_text(spark, sf):
+    """Against brute force: the groups of texts whose five-word shingle sets are alike to 4/5, whatever their fingerprints say."""
+    import random
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(900)]
+    line = " ".join(r.choice(words) for _ in range(20))
+    rows = []
+    for i in range(60):
+        t = [r.choice(words) for _ in range(r.randint(4, 150))]
+        for _ in range(r.randint(1, 5)):  # copies further and further off
+            rows.append(" ".join(t) + (" " + line if i % 3 == 0 else ""))
+            for _ in range(r.randint(0, 3)):
+                t[r.randrange(len(t))] = r.choice(words)
+    hub = [r.choice(words) for _ in range(200)]
+    for i in range(90):  # a wide group
+        t = list(hub)
+        for j in range(i % 5):
+            t[r.randrange(200)] = r.choice(words)
+        rows.append(" ".join(t))
+    rows += [None, "", "One two", "one  two", rows[0], rows[0].upper()]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(rows)] + [(None, rows[0], "en", "a", 1), (0, rows[0], "en", "a", 1), (0, rows[40] + " end", "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+    every = docs.collect()
+    sets, group = [shingles(x.text) for x in every], list(range(len(every)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(every)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                group[root(i)] = root(j)
+    least = {}
+    for i, x in enumerate(every):
+        if x.doc_id is not None:
+            least[root(i)] = min(least.get(root(i), x.doc_id), x.doc_id)
+    got = [x.doc_id for x in p.near_duplicates(spark, docs, sf).collect()]
+    assert sorted(x for x in got if x is not None) == sorted(least.values()) and got.count(None) == 1
+    assert p.near_duplicates(spark, docs.limit(0), sf).count() == 0
