@@ -1,23 +1,23 @@
 """The corpus pipeline: five stages, each one of the operators of quire.llm.
 
 Every stage reads all that its predecessor kept; between stages the rows are written as Parquet and read again.
-Null texts and ids pass as the operators define; empty tables give empty tables.
+Each row is judged by its own text, whether its id is null or recurs; empty tables give empty tables.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, mixing, quality_rules, secret_scan, shingle_sets
-from quire.llm.common import materialize, table
+from quire.llm.common import materialize, table, with_rows
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    kept = quality_rules.judge(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return quality_rules.judge(docs, table(spark, sf_dir, "labels"), keep=tuple(COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut out of the texts; every document stays."""
-    return secret_scan.redact(docs, secret_scan.scan(docs)).select(*COLUMNS)
+    rows = with_rows(docs, "secret_rows")
+    found = secret_scan.scan(rows.withColumn("doc_id", F.col("_row"))).withColumnRenamed("doc_id", "_row")
+    return secret_scan.redact(rows, found, key="_row").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

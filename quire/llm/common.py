@@ -37,6 +37,11 @@ def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_rows(df: DataFrame, label: str) -> DataFrame:
+    """df with a key of each row in _row, written so that it stays the same: ids may be null or recur."""
+    return materialize(df.withColumn("_row", F.monotonically_increasing_id()), label)
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id written as text, modulo m (null id: crc32 of the empty text, which is 0)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_rows
+
 RATE, MIN_CHARS, BLOCK_CHARS, GRAM = 0.1, 24, 8_000_000, 4
 NAMES = ("doc_id", "item_id", "distance", "start", "end")
 #: Fixed value: only A-Z change case, so lengths stay.
@@ -133,5 +135,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without a leak, whole."""
-    return docs.join(find_leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Document rows without a leak, whole; each row by its own text, whatever its id."""
+    rows = with_rows(docs, "decontaminated_rows")
+    leaks = find_leaks(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(leaks, "_row", "left_anti").select(*docs.columns)

@@ -104,12 +104,12 @@ def certify(found: DataFrame, labels: DataFrame, stratum: str, alpha: float = AL
     return walk.where("held").groupBy(stratum, "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Metrics of every document row, base_failed, kept and the certified cutoffs that applied (null: none).
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Metrics and the columns in `keep` of every document row, base_failed, kept and the certified cutoffs that applied (null: none).
 
-    The metrics, a few integers a document, are written once and used for both calibration and judgement.
+    The metrics, a few integers a document, and what is kept are written once and used for both calibration and judgement.
     """
-    found = materialize(metrics(docs.select("doc_id", "text", F.col(stratum).alias("stratum")), "stratum"), "quality_metrics")
+    found = materialize(metrics(docs.select("doc_id", "text", F.col(stratum).alias("stratum"), *[c for c in keep if c not in ("doc_id", "text")]), "stratum", *[c for c in keep if c != "doc_id"]), "quality_metrics")
     cuts = certify(found, labels.select("doc_id", "quality"), "stratum", alpha, delta).groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"{r}_cutoff") for r in GRIDS])
     passed = F.lit(True)
     for r, c in ratios().items():

@@ -115,10 +115,13 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None,
     return judged.where(F.col("score") >= threshold).select("doc_id", "start", "length", "candidate", "score")
 
 
-def redact(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every found string replaced in text, and n_chars set anew; documents without findings are untouched."""
-    spans = findings.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("_spans"))  # a document's own findings
-    d = docs.join(spans, "doc_id", "left")
+def redact(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]", key: str = "doc_id") -> DataFrame:
+    """docs with every found string replaced in text, and n_chars set anew; documents without findings are untouched.
+
+    Findings belong to the rows with the same `key`, which has to tell rows with different texts apart.
+    """
+    spans = findings.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("_spans"))  # a document's own findings
+    d = docs.join(spans, key, "left")
     cut = F.aggregate(
         "_spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")),
         lambda a, s: F.struct(F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark)).alias("out"), (s["start"] + s["length"]).alias("at")),

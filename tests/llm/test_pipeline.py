@@ -90,3 +90,23 @@ def test_near_duplicates_by_text(spark, sf):
     got = [x.doc_id for x in p.near_duplicates(spark, docs, sf).collect()]
     assert sorted(x for x in got if x is not None) == sorted(least.values()) and got.count(None) == 1
     assert p.near_duplicates(spark, docs.limit(0), sf).count() == 0
+
+
+def test_null_and_repeated_ids(spark, sf):
+    """Every stage judges each row by itself."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], schema).repartition(3)
+    texts = lambda df: sorted((str(r.doc_id), r.text) for r in df.collect())
+    words = lambda k: " ".join(f"word{k}x{i}" for i in range(80))
+    good, other, bad = words(1), words(2), "too short"
+    assert texts(p.quality(spark, make([(None, good), (None, bad), (1, other), (1, bad)]), sf)) == [("1", other), ("None", good)]
+    assert texts(p.near_duplicates(spark, make([(None, good), (None, good), (1, other), (1, words(3)), (2, words(3))]), sf)) == sorted([("None", good), ("None", good), ("1", other), ("1", words(3))])
+    item = table(spark, sf, "benchmark").first().text
+    assert texts(p.decontamination(spark, make([(None, good), (None, f"{bad} {item}"), (1, other), (1, item)]), sf)) == [("1", other), ("None", good)]
+    key = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"
+    leak = f'token = "{key}" end'
+    out = p.secrets(spark, make([(None, good), (None, leak), (1, leak), (1, "x " * 9 + leak), (1, other)]), sf)
+    safe = 'token = "[SECRET]" end'
+    assert texts(out) == sorted([("None", good), ("None", safe), ("1", safe), ("1", "x " * 9 + safe), ("1", other)])
+    mixed = p.mix(spark, make([(None, good), (1, other), (1, words(3))]), sf).collect()
+    assert sorted(str(r.doc_id) for r in mixed) == ["1", "1", "None"] and all(r["size"] == 80 for r in mixed)
