@@ -51,12 +51,13 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures: (page_id, url, fetched). Adds n_matches, pattern (of the deciding entry), list and blocked."""
-    keyed = captures.select("page_id", "url", "fetched", F.explode_outer(keys(F.col("url"))).alias("key"))
+    # a key of each capture, before it is exploded: copies of a row are captures too
+    keyed = captures.withColumn("_row", F.monotonically_increasing_id()).select("_row", "page_id", "url", "fetched", F.explode_outer(keys(F.col("url"))).alias("key"))
     valid = intervals(entries)
     active = (keyed["key"] == valid["pattern"]) & (keyed["fetched"] >= valid["valid_from"]) & (valid["valid_to"].isNull() | (keyed["fetched"] < valid["valid_to"]))
     hit = keyed.join(valid, active, "left")
     rank = F.struct(F.length("pattern").alias("n"), (F.col("action") == "allow").alias("allow"), F.col("list").alias("list"), F.col("pattern").alias("pattern"))
-    best = hit.groupBy("page_id", "url", "fetched").agg(F.count("pattern").alias("n_matches"), F.max(F.when(F.col("pattern").isNotNull(), rank)).alias("b"))
+    best = hit.groupBy("_row", "page_id", "url", "fetched").agg(F.count("pattern").alias("n_matches"), F.max(F.when(F.col("pattern").isNotNull(), rank)).alias("b"))
     return best.select("page_id", "url", "fetched", "n_matches", F.col("b.list").alias("list"), F.col("b.pattern").alias("pattern"), (F.col("b").isNotNull() & ~F.coalesce(F.col("b.allow"), F.lit(True))).alias("blocked"))
 
 

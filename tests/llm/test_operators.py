@@ -180,6 +180,17 @@ def test_url_filters(spark):
     assert url_filters.evaluate(captures.limit(0), entries).count() == 0 and url_filters.evaluate(captures, entries.limit(0)).where("blocked").count() == 0
 
 
+def test_url_filters_keeps_copies(spark):
+    import datetime as dt
+
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
+    url = "https://a.example.com/en/x"
+    captures = spark.createDataFrame([(1, url, day(9))] * 3 + [(None, url, None)] * 2 + [(None, None, None)] * 2, "page_id long, url string, fetched date")
+    entries = spark.createDataFrame([("l", "a.example.com", "block", day(5), "add"), ("l", "example.com", "block", day(5), "add")], "list string, pattern string, action string, day date, op string")
+    got = sorted((str(r.page_id), str(r.url), r.n_matches, r.pattern, r.blocked) for r in url_filters.evaluate(captures, entries).collect())
+    assert got == sorted([("1", url, 2, "a.example.com", True)] * 3 + [("None", url, 0, None, False)] * 2 + [("None", "None", 0, None, False)] * 2)
+
+
 def test_quality_classifier(docs, rows, nothing, spark):
     labels = spark.createDataFrame([(i, int(i % 7 != 0), 0) for i in range(60)] + [(3, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     out = quality_classifier.report(docs, labels).collect()
