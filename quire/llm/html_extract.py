@@ -2,7 +2,7 @@
 
 Pages are parsed into elements. What a tag, role, id or class marks as furniture (menus, headers, footers, sidebars,
 notices, adverts, forms, comments ...) goes. Every other element's subtree is hashed (tag, text and children); the
-hashes are counted per host in Spark, and a subtree that recurs on SHARE of a host's pages, PAGES at least, is the
+hashes are counted per host in Spark, and a subtree that recurs on SHARE of a host's distinct pages, PAGES at least, is the
 site's template and is deleted. Inside an article or main element text blocks, lists and tables are never taken for
 templates, so a sentence that many articles share stays. If a page has an article or main, its text is all that
 counts.
@@ -11,8 +11,8 @@ A host has at most 1 / SHARE times as many templates as its largest page has ele
 to each page is bounded; counts are pre-aggregated before they are shuffled.
 
 Cases: null html is empty, with text "" and n_chars 0; pages without a host share the host "". Broken markup is
-read as browsers do: unclosed elements end with their parent, stray end tags are ignored. Repeated rows count as
-pages. Empty tables give empty results.
+read as browsers do: unclosed elements end with their parent, stray end tags are ignored. Pages of a host with equal
+text, furniture aside, are copies and count as one page, so copies make no templates. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -203,20 +204,36 @@ def text_of(root: Element, templates: frozenset[int] = frozenset()) -> str:
 
 
 def templates(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:
-    """(host, templates): the subtree hashes that recur across a host's pages."""
+    """(host, templates): the subtree hashes that recur across a host's distinct pages."""
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
-            hosts, marks, n = [], [], {}
+            seen = {}
             for host, page in zip(p.column("host").to_pylist(), p.column("html"), strict=True):
-                n[host] = n.get(host, 0) + 1
-                own = set(mark(parse(page.as_py())))
-                hosts += [host] * len(own)
-                marks += own
-            count = [1] * len(hosts) + list(n.values())
-            yield pa.RecordBatch.from_arrays([pa.array(hosts + list(n), pa.string()), pa.array(marks + [0] * len(n), pa.int64()), pa.array(count, pa.int64())], ["host", "mark", "n"])  # mark 0 counts pages
-
-    found = materialize(pages.select("host", "html").mapInArrow(run, "host string, mark long, n long").groupBy("host", "mark").agg(F.sum("n").alias("n")), "subtrees")
+                root = parse(page.as_py())
+                own = tuple(sorted(set(mark(root))))
+                content = blake2b(text_of(root, frozenset()).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                seen[host, content, own] = None
+            hosts, contents, marks = zip(*seen, strict=True) if seen else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], ["host", "content", "marks"])
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, had = None, set()  # rows of one content come together
+        for p in parts:
+            n = {}
+            for host, content, marks in zip(p.column("host").to_pylist(), p.column("content").to_pylist(), p.column("marks").to_pylist(), strict=True):
+                if (host, content) != last:
+                    last, had = (host, content), set()
+                    n[host, 0] = n.get((host, 0), 0) + 1  # mark 0 counts pages
+                for m in marks:
+                    if m not in had:
+                        had.add(m)
+                        n[host, m] = n.get((host, m), 0) + 1
+            keys = list(n)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(n.values()), pa.int64())], ["host", "mark", "n"])
+
+    once = pages.select("host", "html").mapInArrow(read, "host string, content binary, marks array<long>").repartition("host", "content").sortWithinPartitions("host", "content")
+    found = materialize(once.mapInArrow(count, "host string, mark long, n long").groupBy("host", "mark").agg(F.sum("n").alias("n")), "subtrees")
     size = found.where("mark = 0").select("host", F.col("n").alias("pages"))
     often = found.where("mark <> 0").where(F.col("n") >= least).join(size, "host").where(F.col("n") >= share * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list("mark").alias("templates"))  # bounded, see above

@@ -339,6 +339,15 @@ def test_html(spark):
     assert html_extract.report(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_copies_make_no_template(spark):
+    page = lambda i: f"<body><div><p>Site slogan</p></div><div><p>Body {i}</p></div></body>"
+    mirrored = lambda i: f"<body><div><p>Site slogan</p></div><article><div><p>Story</p></div></article><nav>{i}</nav></body>"
+    rows = [(i, "http://c.example/x", page(max(i, 4))) for i in range(10)] + [(20 + i, "http://m.example/x", mirrored(i)) for i in range(6)] + [(30 + i, "http://m.example/x", page(i)) for i in range(6)]
+    out = {r.page_id: r.text for r in html_extract.report(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(out[i] == f"Body {max(i, 4)}" for i in range(10))
+    assert all(out[20 + i] == "Story" and out[30 + i] == f"Body {i}" for i in range(6))
+
+
 def _distance(item, text):
     last = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
