@@ -242,7 +242,9 @@ def test_certified_thresholds(spark):
     assert {(r.good, r.kept): r["count"] for r in out} == {(True, True): n * 9 // 10, (False, False): n // 10}
 
 
-def test_substring_dedup(docs, rows, nothing):
+@pytest.mark.parametrize("wide", [1000, 1])
+def test_substring_dedup(docs, rows, nothing, wide, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "WIDE", wide)
     texts = [(r[0], (r[1] or "").encode().split()) for r in rows]
     starts = defaultdict(set)
     for i, w in texts:
@@ -262,6 +264,19 @@ def test_substring_dedup(docs, rows, nothing):
     assert substring_dedup.report(nothing).count() == 0
 
 
+def test_substring_dedup_of_a_wide_minimizer(spark):
+    """Five common words between words of their own, so that one minimizer has thousands of passages; some windows recur."""
+    import random
+
+    r = random.Random(4)
+    word = lambda: f"w{r.randrange(10**9)}"
+    rows = [(i, " ".join([*(word() for _ in range(8)), "one common run of words", *(word() for _ in range(8))])) for i in range(3000)]
+    rows += [(5000 + i, word() + " " + rows[7 * i][1]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x.doc_id: x.n_removed for x in substring_dedup.deduplicate(docs).collect()}
+    assert got == {i: 21 if i >= 5000 else 0 for i, _ in rows}
+
+
 def test_suffix_automaton():
     import random
 
