@@ -10,8 +10,9 @@ Weights 5, 2, 1 repeat over the sources by code point, null last. A source's tar
 size; the excess is reshared by weight among the others until none is above.
 
 Cases: null or empty text has size 0, packs nothing and takes nothing, yet keeps its row. A null source is a
-source of its own. Repeated document rows each pack their own words, and the
-report shows each of them what their id gave in all; extra columns are left out of the plan.
+source of its own. Rows are told apart by their place among their source's words, never by doc_id: ids may be null
+or recur, each row packs its own words and shows what the mix took of them. Rows alike in id, source and text are
+one row with a count until their places are known. Extra columns are left out of the plan.
 All draws are hashes of (seed, shard, slot), so reruns agree however rows are partitioned. Empty in, empty out.
 """
 
@@ -30,8 +31,9 @@ RUNS = 1024
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size in words, written once: text is read in this pass only."""
-    return materialize(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size")), "mix_sizes")
+    """doc_id, source, text_key, size in words and the number of such rows, written once: text is read in this pass only."""
+    each = docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.size(words(F.col("text"))).cast("long").alias("size"))
+    return materialize(each.groupBy("doc_id", "source", "text_key", "size").agg(F.count(F.lit(1)).alias("copies")), "mix_sizes")
 
 
 def targets(sized: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIGHTS, total: float | None = None) -> DataFrame:
@@ -40,7 +42,7 @@ def targets(sized: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIGH
     Capping is a water level: with sources by cap/weight ascending, the first c are capped, where c is the least
     count at which every other source's share of what is left stays within its cap.
     """
-    per = sized.groupBy("source").agg(F.sum("size").cast("double").alias("source_size"))
+    per = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).cast("double").alias("source_size"))
     one = per.withColumn("rank", F.row_number().over(W.orderBy(F.col("source").isNull(), F.col("source"))) - 1)
     w = F.lit(0.0)
     for i, x in enumerate(weights):
@@ -56,27 +58,31 @@ def targets(sized: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIGH
     return one.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("weight") * free, F.col("cap")))).select("source", "rank", "weight", "source_size", "target")
 
 
-def pack(sized: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, row, source, size, first_word): the place of each document row's words among its source's words.
+def pack(sized: DataFrame) -> DataFrame:
+    """(doc_id, source, text_key, size, first_word): the place of each document row's words among its source's words.
 
-    Prefix sums in two levels: within runs of a source, then over the at most RUNS sums of a source.
+    Prefix sums in two levels: within runs of a source, then over the at most RUNS sums of a source. With its source,
+    first_word tells rows of a size over 0 apart.
     """
-    keyed = sized.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(RUNS)))
-    runs = keyed.groupBy("source", "run").agg(F.sum("size").alias("run_size"))
+    keyed = sized.withColumn("run", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(RUNS))).withColumn("all", F.col("size") * F.col("copies"))
+    runs = keyed.groupBy("source", "run").agg(F.sum("all").alias("run_size"))
     runs = runs.withColumn("run_at", F.coalesce(F.sum("run_size").over(W.partitionBy("source").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    inside = W.partitionBy("source", "run").orderBy("doc_id", "size")
-    placed = keyed.withColumn("at", F.coalesce(F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    inside = W.partitionBy("source", "run").orderBy("doc_id", "text_key", "size")
+    placed = keyed.withColumn("at", F.coalesce(F.sum("all").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     runs = runs.select(F.col("source").alias("_s"), F.col("run").alias("_r"), "run_at")
-    return placed.join(runs, placed["source"].eqNullSafe(runs["_s"]) & (placed["run"] == runs["_r"])).select("doc_id", "source", "size", (F.col("at") + F.col("run_at")).alias("first_word"))
+    each = placed.join(runs, placed["source"].eqNullSafe(runs["_s"]) & (placed["run"] == runs["_r"])).withColumn("first_word", F.col("at") + F.col("run_at"))
+    each = each.withColumn("kilo", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / 1024))))
+    each = each.withColumn("copy", F.explode(F.sequence(F.col("kilo") * 1024, F.least(F.col("kilo") * 1024 + 1023, F.col("copies") - 1))))  # in two steps: no row holds all copies
+    return each.select("doc_id", "source", "text_key", "size", (F.col("first_word") + F.col("copy") * F.col("size")).alias("first_word"))
 
 
 def blocks(packed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """A row for each piece of a document in a block: source, index, doc_id, piece_from (word in the document), piece_words."""
+    """A row for each piece of a document in a block: its place, index, doc_id, piece_from (word in the document), piece_words."""
     last = F.floor((F.col("first_word") + F.col("size") - 1) / block)
     cut = packed.where("size > 0").withColumn("index", F.explode(F.sequence(F.floor(F.col("first_word") / block), last)))
     begin = F.greatest(F.col("first_word"), F.col("index") * block)
     end = F.least(F.col("first_word") + F.col("size"), (F.col("index") + 1) * block)
-    return cut.select("source", "index", "doc_id", (begin - F.col("first_word")).alias("piece_from"), (end - begin).alias("piece_words"))
+    return cut.select("source", "index", "doc_id", "text_key", "size", "first_word", (begin - F.col("first_word")).alias("piece_from"), (end - begin).alias("piece_words"))
 
 
 def permuted(j: Column, n: Column, key: list[Column], rounds: int = ROUNDS) -> Column:
@@ -123,30 +129,37 @@ def slots(goals: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int =
     return s.select("shard", "slot", "source", "rank", "epoch", permuted(F.col("start"), F.col("n_blocks"), key).alias("index"))
 
 
+def _ranked(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """rows with _rank in place of a source that may be null; goals has a row a source and its own size decides how it is joined."""
+    ranks = goals.select(F.col("source").alias("_source"), F.col("rank").alias("_rank"))
+    return rows.join(ranks, rows["source"].eqNullSafe(ranks["_source"])).drop("_source")
+
+
 def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, most: int = MOST) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sized documents, targets, picks); a pick is (shard, slot, source, index, epoch, doc_id, piece_from, piece_words)."""
+    """(packed rows with _rank, targets, picks); a pick is (shard, slot, _rank, source, index, epoch, doc_id, text_key, size, first_word, piece_from, piece_words)."""
     sized = sizes(docs)
     goals = materialize(targets(sized, most), "mix_targets")
-    took, cut = slots(goals, block, shard, seed, most), blocks(pack(sized, block), block)
-    ranks = goals.select(F.col("source").alias("_source"), F.col("rank").alias("_rank"))
-    cut = cut.join(F.broadcast(ranks), cut["source"].eqNullSafe(ranks["_source"])).drop("source", "_source")  # a row a source
-    picks = took.hint("merge").join(cut, (took["rank"] == cut["_rank"]) & (took["index"] == cut["index"])).select("shard", "slot", "source", took["index"], "epoch", "doc_id", "piece_from", "piece_words")  # both sides grow with the input: never broadcast
-    return sized, goals, picks
+    packed = _ranked(materialize(pack(sized), "mix_places"), goals)
+    took, cut = slots(goals, block, shard, seed, most), _ranked(blocks(packed.drop("_rank"), block), goals).drop("source")
+    picks = took.hint("merge").join(cut, (took["rank"] == cut["_rank"]) & (took["index"] == cut["index"]))  # both sides grow with the input: never broadcast
+    return packed, goals, picks.select("shard", "slot", "_rank", "source", took["index"], "epoch", "doc_id", "text_key", "size", "first_word", "piece_from", "piece_words")
 
 
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
-    """The output itself: shard, slot, source and the block's words joined by spaces. Needs doc_id to be unique."""
-    _, _, picks = mix(docs, **options)
-    text = docs.select("doc_id", words(F.col("text")).alias("_w"))
-    piece = picks.join(text, "doc_id").select("shard", "source", "slot", F.struct("doc_id", "piece_from", F.slice("_w", (F.col("piece_from") + 1).cast("int"), F.col("piece_words").cast("int")).alias("w")).alias("p"))
+    """The output itself: shard, slot, source and the block's words joined by spaces."""
+    _, goals, picks = mix(docs, **options)
+    text = docs.select(F.col("doc_id").alias("_id"), "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"), words(F.col("text")).alias("_w"))
+    text = _ranked(text, goals).select("_id", "_key", F.col("_rank").alias("_of"), F.size("_w").alias("_size"), "_w").dropDuplicates(["_id", "_key", "_of", "_size"])
+    same = picks["doc_id"].eqNullSafe(text["_id"]) & (picks["text_key"] == text["_key"]) & (picks["_rank"] == text["_of"]) & (picks["size"] == text["_size"])
+    piece = picks.join(text, same).select("shard", "source", "slot", F.struct("first_word", "piece_from", F.slice("_w", (F.col("piece_from") + 1).cast("int"), F.col("piece_words").cast("int")).alias("w")).alias("p"))
     whole = F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["w"])), " ")  # at most `block` pieces
     return piece.groupBy("shard", "source", "slot").agg(whole.alias("text"))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document row."""
-    sized, goals, picks = mix(docs, **options)
-    taken = picks.groupBy("doc_id").agg(F.sum("piece_words").cast("long").alias("taken"))
-    goals = goals.select(F.col("source").alias("_source"), F.col("source_size").cast("long").alias("source_size"), "target")
-    out = sized.join(F.broadcast(goals), sized["source"].eqNullSafe(goals["_source"])).join(taken, "doc_id", "left")  # a row a source
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    packed, goals, picks = mix(docs, **options)
+    taken = picks.groupBy("_rank", "first_word").agg(F.sum("piece_words").cast("long").alias("taken"))
+    goals = goals.select(F.col("rank").alias("_rank"), F.col("source_size").cast("long").alias("source_size"), "target")
+    out = packed.join(goals, "_rank").join(taken, ["_rank", "first_word"], "left")
+    return out.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias("taken"))

@@ -30,21 +30,34 @@ def test_mixing(docs, rows, nothing):
             target[s] = 3 * sizes[s] if over else level * weight[s]
         left -= sum(3 * sizes[s] for s in over)
         open_ = open_ - over if over else set()
-    by = defaultdict(int)
-    source = {(r[0], len(W.findall(r[1] or ""))): r[3] for r in rows}
+    by, source = defaultdict(int), defaultdict(list)
+    for r in rows:
+        source[r[0], len(W.findall(r[1] or ""))].append(r[3])
     for r in out:
-        if r.doc_id == 5:  # a repeated id, here in two sources, shows what both rows gave
-            continue
-        s = source[r.doc_id, r["size"]]
-        assert r.source_size == sizes[s] and math.isclose(r.target, target[s], rel_tol=1e-9)
-        assert r.taken <= 3 * r["size"]
-        by[s] += r.taken
+        of = [s for s in source[r.doc_id, r["size"]] if sizes[s] == r.source_size and math.isclose(r.target, target[s], rel_tol=1e-9)]
+        assert of and r.taken <= 3 * r["size"]
+        by[of[0]] += r.taken
     for s in order:
         assert abs(by[s] - target[s]) <= 0.2 * target[s] + 600
     assert sorted(map(str, mixing.report(docs.repartition(7)).collect())) == sorted(map(str, out))
     assert mixing.report(nothing).count() == 0
 
 
+def test_mixing_of_null_and_repeated_ids(spark):
+    """Each row shows its own words, whatever its id; equal rows, and many of them, too."""
+    text = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [(8, text(1, 300), "a"), (8, text(1, 300), "a"), (8, text(2, 200), "a"), (None, text(3, 500), "a"), (None, text(3, 500), None), (None, None, "a"), (3, "", None)]
+    rows += [(9, text(4, 7), "b")] * 3000 + [(i, text(5, 40), None) for i in range(100, 150)]
+    docs = spark.createDataFrame([(i, t, s, 1, 2) for i, t, s in rows], "doc_id long, text string, source string, size long, first_word long").repartition(5)
+    out = mixing.report(docs, block=8, shard=64).collect()
+    assert Counter((r.doc_id, r["size"]) for r in out) == Counter((i, len((t or "").split())) for i, t, _ in rows)
+    assert all(r.taken <= 3 * r["size"] for r in out)
+    for s, target, n in {(r.source_size, r.target, sum(x.taken for x in out if x.source_size == r.source_size)) for r in out}:
+        assert abs(n - target) < 0.05 * target + 64
+    got = Counter(w for t in mixing.mixed_texts(docs, block=8, shard=64).collect() for w in t.text.split(" "))
+    assert sum(got.values()) == sum(r.taken for r in out) and set(got) <= {w for _, t, _ in rows for w in (t or "").split()}
+
+
 def test_mixed_texts_hold_the_words(docs, rows):
     unique = docs.where("doc_id > 5 AND doc_id < 60")
     texts = mixing.mixed_texts(unique, block=8, shard=64).collect()
