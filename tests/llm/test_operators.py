@@ -407,3 +407,32 @@ def test_decontamination(docs, rows, nothing, spark):
     assert {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(d, bench, block_chars=100).collect()} == set(want)
     assert decontaminate.find_leaks(nothing, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
     assert decontaminate.clean(docs, bench).count() == len(rows)
+
+
+def test_decontamination_of_short_items_and_long_texts(spark):
+    short = "What is 17 times 23?"
+    long = " ".join(f"filler{i}" for i in range(60000))
+    item = "a sentence of the benchmark that a very long document holds somewhere"
+    texts = [(1, f"Q: {short.upper()} A: 391"), (2, "what is 12 times 13?"), (3, short[1:]), (4, "xwhat is 17 times 23?"), (5, "Somewhat is 17 times 23? what is\n17  times 23?"), (None, short), (6, f"{long} {item.replace('very', 'vary')} {long}"), (6, item), (7, "no")]
+    d = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(1, short), (2, item), (2, item), (None, "no"), (3, ""), (4, None)], "item_id long, text string")
+    got = Counter((x.doc_id, x.item_id, x.distance) for x in decontaminate.find_leaks(d, bench).collect())
+    assert got == Counter({(1, 1, 0): 1, (5, 1, 0): 1, (None, 1, 0): 1, (6, 2, 1): 2, (6, 2, 0): 2, (7, None, 0): 1})
+    assert sorted(str(r.doc_id) for r in decontaminate.clean(d, bench).collect()) == ["2", "3", "4"]
+
+
+def test_decontamination_against_brute_force(spark):
+    """Random texts over few letters, so that chance hits abound; every edit budget."""
+    import random
+
+    r = random.Random(2)
+    text = lambda n: "".join(r.choice("abc ") for _ in range(n))
+    items = [(i, decontaminate.normal(text(r.randint(24, 60)))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        t = list(items[i % 12][1])
+        for _ in range(r.randint(0, 8)):
+            t[r.randrange(len(t))] = r.choice(["", "a", "bc"])
+        docs.append((i, text(20) + "".join(t) + text(30)))
+    got = {(x.doc_id, x.item_id): x.distance for x in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), exact_below=0).collect()}
+    assert got == {(i, n): v for i, t in docs for n, item in items if (v := _distance(item, decontaminate.normal(t))) <= int(0.1 * len(item))} and len(got) > 20
