@@ -1,14 +1,17 @@
 """Main text of web pages, with site templates removed.
 
-Pages are parsed into elements. What a tag, role, id or class marks as furniture (menus, headers, footers, sidebars,
-notices, adverts, forms, comments ...) goes. Every other element's subtree is hashed (tag, text and children); the
-hashes are counted per host in Spark, and a subtree that recurs on SHARE of a host's distinct pages, PAGES at least, is the
-site's template and is deleted. Inside an article or main element text blocks, lists and tables are never taken for
-templates, so a sentence that many articles share stays. If a page has an article or main, its text is all that
-counts.
+Pages are parsed into elements. What a tag, a role, or a word of id or class marks as furniture (menus, headers,
+footers, sidebars, notices, adverts, forms, comments ...) goes; within an article or main element only names whose head
+word is such a thing count, so that class names of the text itself take nothing away. Every other element's subtree is
+hashed (tag, text and children); the hashes are counted per host in Spark, and a subtree that recurs on SHARE of a
+host's distinct pages, PAGES at least, is the site's template and is deleted. Inside an article or main element text
+blocks, lists and tables are never taken for templates, so a sentence that many articles share stays. If a page has a
+main element with text, or articles with a quarter of its text, theirs is all that counts; a teaser in an article
+element does not hide a page's text.
 
 A host has at most 1 / SHARE times as many templates as its largest page has elements, so the list that is joined
-to each page is bounded; counts are pre-aggregated before they are shuffled.
+to each page is bounded; counts are pre-aggregated before they are shuffled. Pages meet their host's list in a join
+that Spark splits where a host has many pages (adaptive skew join), so no list is copied more often than needed.
 
 Cases: null html is empty, with text "" and n_chars 0; pages without a host share the host "". Broken markup is
 read as browsers do: unclosed elements end with their parent, stray end tags are ignored. Pages of a host with equal
@@ -30,11 +33,11 @@ from .common import materialize
 from .url_filters import host_of
 
 SHARE, PAGES = 0.3, 5
-#: The pages of a host are dealt to so many tasks, each of which gets the host's bounded list.
-SALTS = 64
+#: Articles that hold less of a page's text than this are teasers.
+ARTICLE_SHARE = 0.25
 #: Fixed values of HTML: elements that are never closed, whose content is raw, that break text into blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|title|select|object|canvas|video|audio"
+RAW = "script|style|noscript|template|textarea|iframe|svg|title|select|object|canvas|video|audio"
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -61,26 +64,46 @@ ATTR = re.compile(r"(?:^|\s)(id|class|role|hidden|aria-hidden|style)(?:\s*=\s*(?
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table tbody thead tr td th figure figcaption hr img b i em strong a span code br".split())
 
 
-def furniture(tag: str, attrs: str, inside: bool) -> bool:
+#: The same inside an article or main element, where the last word of a name decides, layout words aside.
+HEAD_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion banner billboard skyscraper breadcrumb "
+    "breadcrumbs nav navbar navigation menu menus pagination pager toolbar sidebar footer cookie cookies consent gdpr notice notices notification notifications "
+    "disclaimer newsletter subscribe subscription paywall popup modal overlay comment comments disqus discussion replies respond".split()
+)
+LAYOUT_WORDS = frozenset("area bar block bottom box container content form group inner item left link links list main outer right section slot thread top unit widget wrap wrapper".split())
+#: Elements that are text whatever their names are.
+ALWAYS_TEXT = frozenset("h1 h2 h3 h4 h5 h6 blockquote pre code td th tr table tbody body html main".split())
+
+
+def _head_word(name: str) -> str:
+    parts = [x for x in re.split(r"[-_]+|[0-9]+", name) if x]
+    while len(parts) > 1 and parts[-1] in LAYOUT_WORDS:
+        parts.pop()
+    return parts[-1] if parts else ""
+
+
+def furniture(tag: str, attrs: list[tuple[str, str]], inside: bool) -> bool:
     """inside: within an article or main, where a header holds the title."""
     if tag in DROP_TAGS or tag == "header" and not inside:
         return True
-    for name, a, b, c in ATTR.findall(attrs) if attrs else ():
-        name, value = name.lower(), (a or b or c).strip().lower()
+    for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in DROP_ROLES:
             return True
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("id", "class") and tag not in ("body", "html", "main") and DROP_WORDS.search(value):
+        if name in ("id", "class") and inside:
+            if tag not in ALWAYS_TEXT and any(_head_word(x) in HEAD_WORDS for x in value.split()):
+                return True
+        elif name in ("id", "class") and tag not in ("body", "html", "main", "article") and DROP_WORDS.search(value):
             return True
     return False
 
 
 class Element:
-    __slots__ = ("tag", "parts", "drop", "inside", "mark")
+    __slots__ = ("tag", "parts", "drop", "inside", "main", "mark")
 
-    def __init__(self, tag: str, drop: bool, inside: bool):
-        self.tag, self.parts, self.drop, self.inside = tag, [], drop, inside
+    def __init__(self, tag: str, drop: bool, inside: bool, main: bool = False):
+        self.tag, self.parts, self.drop, self.inside, self.main = tag, [], drop, inside, main
         self.mark = 0
 
 
@@ -120,11 +143,13 @@ def parse(page: str | None) -> Element:
                 if stack[i].tag in SCOPE[tag] if tag in SCOPE else False:
                     break
         if tag in VOID:
-            stack[-1].parts.append(Element(tag, False, stack[-1].inside))
+            stack[-1].parts.append(Element(tag, False, stack[-1].inside, stack[-1].main))
             continue
         attrs = m["attrs"] if m["tag"] else m["attrs2"]
+        attrs = [(n.lower(), (x or y or z).strip().lower()) for n, x, y, z in ATTR.findall(attrs)] if attrs else []
         up = stack[-1]
-        e = Element(tag, up.drop or furniture(tag, attrs, up.inside), up.inside or tag in ("article", "main") or 'role="main"' in attrs)
+        main = up.main or tag == "main" or ("role", "main") in attrs
+        e = Element(tag, up.drop or furniture(tag, attrs, up.inside), up.inside or main or tag == "article", main)
         up.parts.append(e)
         stack.append(e)
     if at < len(page):
@@ -165,9 +190,17 @@ def mark(root: Element) -> list[int]:
     return out
 
 
+def _of_main_alone(root: Element) -> bool:
+    """Whether the text of article and main elements is all that counts."""
+    n = {(False, False): 0, (True, False): 0, (True, True): 0}
+    for e in _walk(root):
+        n[e.inside, e.main] += sum(len("".join(x.split())) for x in e.parts if isinstance(x, str))
+    return n[True, True] > 0 or n[True, False] > 0 and n[True, False] >= ARTICLE_SHARE * sum(n.values())
+
+
 def text_of(root: Element, templates: frozenset[int] = frozenset()) -> str:
     """The blocks of the page in order, joined by newlines. Marks are needed where there are templates."""
-    main = any(e.inside for e in _walk(root))
+    main = _of_main_alone(root)
     blocks: list[str] = []
     now: list[str] = []
 
@@ -242,8 +275,7 @@ def templates(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> Dat
 def extract(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:
     """page_id, url, text for every page row."""
     hosted = pages.select("page_id", "url", "html", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"))
-    spread = templates(hosted, share, least).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = hosted.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "templates")
+    joined = hosted.join(templates(hosted, share, least), "host", "left").select("page_id", "url", "html", "templates")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

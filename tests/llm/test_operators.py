@@ -367,6 +367,41 @@ def test_html(spark):
     assert html_extract.report(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_loses_no_text_of_the_article(spark):
+    page = lambda x: html_extract.text_of(html_extract.parse(x))
+    kept = "warning search-results side share tags toc related-work ad-astra comment-policy notice-of-1848-treaty footnotes menu-history".split()
+    body = "".join(f'<div class="{c}">Text of {c}</div>' for c in kept)
+    assert page(f"<article><header><h1>T</h1></header>{body}<p>Energy <math><mi>E</mi>=<mi>m</mi></math></p></article>") == "\n".join(["T", *(f"Text of {c}" for c in kept), "Energy E=m"])
+    gone = "ad top-ad ad-slot advert cookie-notice notice reader-comments comments comment-list post_comments newsletter-box sidebar-right site-footer main-menu".split()
+    assert page("<main><p>Body</p>" + "".join(f'<div class="x {c}">no</div><div id="{c}">no</div>' for c in gone) + '<article class="comment">no</article><form>no</form><aside>no</aside></main>') == "Body"
+    real = "<div><p>" + "The story goes on and on. " * 20 + "</p></div>"
+    assert page(f"<body>{real}<article>Teaser card</article></body>") == ("The story goes on and on. " * 20).strip() + "\nTeaser card"
+    assert page("<body><div>slogan</div><article>All of the text that this page has</article></body>") == "All of the text that this page has"
+    assert page("<body><div>a slogan that is longer than the text</div><main>Short</main></body>") == "Short"
+    long = "".join(f"<p>Paragraph {i} of a long page" for i in range(50_000))
+    assert page(f"<body>{'<div>' * 3000}{long}") == "\n".join(f"Paragraph {i} of a long page" for i in range(50_000))
+
+
+def test_html_templates_against_brute_force(spark):
+    """The subtrees that are deleted are those that recur, counted by hand; ids may be null or recur, columns may clash."""
+    import random
+
+    r = random.Random(6)
+    block = lambda k: f"<div><p>Block {k}</p></div>"
+    rows, want = [], []
+    for host in range(4):
+        pages = [sorted(r.sample(range(12), r.randint(2, 6))) for _ in range(20 + host)]
+        distinct = {tuple(p) + (i,) for i, p in enumerate(pages)}
+        often = {k for k in range(12) if (n := sum(k in d[:-1] for d in distinct)) >= 5 and n >= 0.3 * len(distinct)}
+        for i, p in enumerate(pages):
+            for _ in range(1 + (i == 3) * 9):  # copies of one page count once
+                rows.append((None if i % 5 == 0 else i % 7, f"https://h{host}.example/{i}", "<body>" + "".join(map(block, p)) + f"<div><p>Own {host} {i}</p></div></body>", "x", "y", "z"))
+                want.append("\n".join([f"Block {k}" for k in p if k not in often] + [f"Own {host} {i}"]))
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, host string, templates string, mark string").repartition(4)
+    got = html_extract.report(d).collect()
+    assert sorted((str(x.page_id), x.url, x.text) for x in got) == sorted((str(a[0]), a[1], b) for a, b in zip(rows, want, strict=True))
+
+
 def test_html_copies_make_no_template(spark):
     page = lambda i: f"<body><div><p>Site slogan</p></div><div><p>Body {i}</p></div></body>"
     mirrored = lambda i: f"<body><div><p>Site slogan</p></div><article><div><p>Story</p></div></article><nav>{i}</nav></body>"
