@@ -10,8 +10,8 @@ main element with text, or articles with a quarter of its text, theirs is all th
 element does not hide a page's text.
 
 A host has at most 1 / SHARE times as many templates as its largest page has elements, so the list that is joined
-to each page is bounded; counts are pre-aggregated before they are shuffled. Pages meet their host's list in a join
-that Spark splits where a host has many pages (adaptive skew join), so no list is copied more often than needed.
+to each page is bounded; counts are pre-aggregated before they are shuffled. The pages of a host are dealt to SALTS
+tasks at most, and its list goes to those of them that have pages, so it is never copied more often than it has pages.
 
 Cases: null html is empty, with text "" and n_chars 0; pages without a host share the host "". Broken markup is
 read as browsers do: unclosed elements end with their parent, stray end tags are ignored. Pages of a host with equal
@@ -33,6 +33,7 @@ from .common import materialize
 from .url_filters import host_of
 
 SHARE, PAGES = 0.3, 5
+SALTS = 64
 #: Articles that hold less of a page's text than this are teasers.
 ARTICLE_SHARE = 0.25
 #: Fixed values of HTML: elements that are never closed, whose content is raw, that break text into blocks.
@@ -275,7 +276,9 @@ def templates(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> Dat
 def extract(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:
     """page_id, url, text for every page row."""
     hosted = pages.select("page_id", "url", "html", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"))
-    joined = hosted.join(templates(hosted, share, least), "host", "left").select("page_id", "url", "html", "templates")
+    hosted = hosted.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    lists = hosted.select("host", "salt").distinct().join(templates(hosted, share, least), "host")
+    joined = hosted.join(lists, ["host", "salt"], "left").select("page_id", "url", "html", "templates")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
