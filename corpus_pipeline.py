@@ -7,10 +7,9 @@ Each row is judged by its own text, whether its id is null or recurs; empty tabl
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, mixing, quality_rules, secret_scan, shingle_sets
-from quire.llm.common import materialize, table, with_rows
+from quire.llm.common import materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,9 +31,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut out of the texts; every document stays."""
-    rows = with_rows(docs, "secret_rows")
-    found = secret_scan.scan(rows.withColumn("doc_id", F.col("_row"))).withColumnRenamed("doc_id", "_row")
-    return secret_scan.redact(rows, found, key="_row").select(*COLUMNS)
+    return secret_scan.redact(docs).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
