@@ -31,16 +31,17 @@ from .common import materialize
 TRAINING_ROWS, TREES, DEPTH, SEED, THRESHOLD = 6000, 24, 10, 11, 0.5
 #: Names whose assigned value is a candidate, and how candidates look.
 NAMES = "password|passwd|passphrase|pwd|secret|token|key|credential|credentials|auth"
-CANDIDATE = "|".join(
-    (
-        r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,40}PRIVATE KEY-----",
-        r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*",
-        r"(?<=://[A-Za-z0-9._%+~-]{0,64}:)[^\s/@:\"'<>]{3,}(?=@)",
-        rf"(?<=(?i:{NAMES})[\"'`]?[!#$%&*]{{0,3}}[ \t]?(?::=|=>|[=:])[!#$%&*]{{0,3}}[ \t]?[\"'`]?)[^\s\"'`<>,;=]{{6,}}={{0,2}}",
-        r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9+/_-]{16,}={0,2}",
-        r"(?<=[=:][!#$%&*]{0,3} ?[\"'])[A-Za-z0-9+/_=-]{16,}",
-    )
+#: All begin where no token character stands before; what is cheap to test comes first, as the pattern is tried everywhere.
+_KINDS = (
+    r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*",
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,40}PRIVATE KEY-----",
+    r"(?<=:)(?<=://[A-Za-z0-9._%+~-]{0,64}:)[^\s/@:\"'<>]{3,}(?=@)",
+    r"(?<=[=:>\"'`!#$%&*]|[=:>!#$%&*][ \t])(?<=[=:>][!#$%&*]{0,3}[ \t]?[\"'`]?)"
+    rf"(?<=(?i:{NAMES})[\"'`]?[!#$%&*]{{0,3}}[ \t]?(?::=|=>|[=:])[!#$%&*]{{0,3}}[ \t]?[\"'`]?)[^\s\"'`<>,;=]{{6,}}={{0,2}}",
+    r"(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9+/_-]{16,}={0,2}",
+    r"(?<=[\"'])(?<=[=:][!#$%&*]{0,3} ?[\"'])[A-Za-z0-9+/_=-]{16,}",
 )
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])(?:{'|'.join(_KINDS)})"
 #: Words whose presence beside a candidate speaks for or against a secret, and path parts that speak against.
 FOR = "token|secret|passw|passwd|passphrase|pwd|api[_ -]?key|apikey|auth|credential|bearer|private|access[_ -]?key|_key"
 AGAINST = "sha1|sha256|md5|digest|checksum|integrity|commit|uuid|card|phone|order|invoice|isbn|example|sample|placeholder"
