@@ -12,6 +12,8 @@ import re
 import zlib
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from .aes import Aes, unpad
 
 
@@ -44,12 +46,14 @@ class PdfError(Exception):
         self.code = code
 
 
-MAX_DEPTH, MAX_DECODED = 64, 256 << 20
+MAX_DEPTH, MAX_OPERANDS = 64, 10
 SPACE = b"\0\t\n\f\r "
 _SKIP = re.compile(rb"(?:[\0\t\n\f\r ]+|%[^\r\n]*)*")
 _REGULAR = re.compile(rb"[^\0\t\n\f\r ()<>\[\]{}/%]*")
 _NUMBER = re.compile(rb"[+-]*(?:\d+\.?\d*|\.\d+)(?:-\d*)?$")
 _REF = re.compile(rb"(\d+)[\0\t\n\f\r ]+(\d+)[\0\t\n\f\r ]+R(?![^\0\t\n\f\r ()<>\[\]{}/%])")
+_VERSION = re.compile(rb"%PDF-(1\.[0-7]|2\.0)")
+_START = re.compile(rb"startxref[\0\t\n\f\r ]*(\d+)")
 _OBJ = re.compile(rb"(?<![0-9])(\d{1,10})[\0\t\n\f\r ]+(\d{1,5})[\0\t\n\f\r ]+obj")
 _ESCAPES = {110: b"\n", 114: b"\r", 116: b"\t", 98: b"\b", 102: b"\f"}
 
@@ -201,21 +205,25 @@ def run_length_decode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def flate_decode(data: bytes, limit: int = MAX_DECODED) -> bytes:
-    """What can be inflated; a damaged end or checksum keeps what came before."""
-    for bits in (15, -15):
-        d, out = zlib.decompressobj(bits), bytearray()
-        try:
-            for i in range(0, len(data), 65536):
-                out += d.decompress(data[i : i + 65536], limit - len(out) + 1)
-                if len(out) > limit:
+def flate_decode(data: bytes, limit: int | None = None, lenient: bool = False) -> bytes:
+    """Inflated data: whole, or PdfError. `limit` bounds the output; `lenient` keeps what came before damage."""
+    wrapped = len(data) > 1 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0
+    d, out = zlib.decompressobj(15 if wrapped else -15), bytearray()
+    try:
+        for i in range(0, len(data), 65536):
+            piece = data[i : i + 65536]
+            while piece and not d.eof:
+                out += d.decompress(piece, limit - len(out) + 1 if limit is not None else 0)
+                if limit is not None and len(out) > limit:
                     raise PdfError("limit")
-            out += d.flush()
-        except zlib.error:
-            pass
-        if out or not data:
-            return bytes(out)
-    raise PdfError("flate")
+                piece = d.unconsumed_tail
+    except zlib.error as e:
+        if not lenient or not out:
+            raise PdfError("flate") from e
+        return bytes(out)
+    if not d.eof and not (lenient and out):
+        raise PdfError("flate")
+    return bytes(out)
 
 
 def lzw_decode(data: bytes, early: int = 1) -> bytes:
@@ -248,40 +256,55 @@ def lzw_decode(data: bytes, early: int = 1) -> bytes:
     return bytes(out)
 
 
+def _tiff(data: bytes, colors: int, bits: int, columns: int, row: int) -> bytes:
+    """Undoes horizontal differences, sample by sample of each colour."""
+    lines = np.frombuffer(data.ljust(-(-len(data) // row) * row, b"\0"), dtype=np.uint8).reshape(-1, row)
+    if bits == 8 or bits == 16:
+        width = columns * colors
+        samples = lines if bits == 8 else lines.view(">u2")
+        out = np.cumsum(samples[:, :width].reshape(len(lines), columns, colors), axis=1, dtype=np.uint8 if bits == 8 else np.uint16).reshape(len(lines), width)
+        return (out if bits == 8 else out.astype(">u2")).tobytes()[: len(data)]
+    if bits not in (1, 2, 4):
+        raise PdfError("predictor")
+    unpacked = np.unpackbits(lines, axis=1)[:, : columns * colors * bits].reshape(len(lines), columns, colors, bits)
+    values = (unpacked * (1 << np.arange(bits - 1, -1, -1))).sum(axis=3)
+    total = np.cumsum(values, axis=1) % (1 << bits)
+    back = (total[..., None] >> np.arange(bits - 1, -1, -1) & 1).astype(np.uint8).reshape(len(lines), -1)
+    return np.packbits(back, axis=1).tobytes()[: len(data)]
+
+
 def unpredict(data: bytes, params: dict) -> bytes:
     """Undoes the TIFF (2) and PNG (10 and up) predictors."""
     kind = params.get("Predictor", 1)
     if kind < 2:
         return data
     colors, bits, columns = params.get("Colors", 1), params.get("BitsPerComponent", 8), params.get("Columns", 1)
+    if min(colors, bits, columns) < 1:
+        raise PdfError("predictor")
     step, row = max(1, colors * bits // 8), (colors * bits * columns + 7) // 8
     if kind == 2:
-        if bits != 8:
-            raise PdfError("predictor")
-        out = bytearray(data)
-        for a in range(0, len(out), row):
-            for i in range(a + step, min(a + row, len(out))):
-                out[i] = (out[i] + out[i - step]) & 255
-        return bytes(out)
-    out, above = bytearray(), bytearray(row)
+        return _tiff(data, colors, bits, columns, row)
+    out, above = bytearray(), bytes(row)
     for a in range(0, len(data), row + 1):
         tag, line = data[a], bytearray(data[a + 1 : a + 1 + row])
-        for i in range(len(line)):
-            left, up, corner = (line[i - step] if i >= step else 0), above[i], (above[i - step] if i >= step else 0)
-            if tag == 1:
-                add = left
-            elif tag == 2:
-                add = up
-            elif tag == 3:
-                add = (left + up) // 2
-            elif tag == 4:
+        n = len(line)
+        if tag == 1:  # each of the `step` byte lanes is a running sum
+            lanes = np.frombuffer(bytes(line).ljust(-(-n // step) * step, b"\0"), dtype=np.uint8).reshape(-1, step)
+            line = bytearray(np.cumsum(lanes, axis=0, dtype=np.uint8).tobytes()[:n])
+        elif tag == 2:
+            line = bytearray((np.frombuffer(line, dtype=np.uint8) + np.frombuffer(above, dtype=np.uint8)[:n]).tobytes())
+        elif tag == 3:
+            for i in range(n):
+                line[i] = (line[i] + ((line[i - step] if i >= step else 0) + above[i]) // 2) & 255
+        elif tag == 4:
+            for i in range(n):
+                left, up, corner = (line[i - step] if i >= step else 0), above[i], (above[i - step] if i >= step else 0)
                 p = left + up - corner
-                add = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
-            else:
-                break
-            line[i] = (line[i] + add) & 255
+                line[i] = (line[i] + min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]) & 255
+        elif tag:
+            raise PdfError("predictor")
         out += line
-        above = line + bytearray(row - len(line))
+        above = bytes(line).ljust(row, b"\0")
     return bytes(out)
 
 
@@ -299,10 +322,11 @@ def filters(d: dict, get=lambda x: x) -> list[tuple[str, dict]]:
     return [(SHORT.get(get(n), str(get(n))), {k: get(v) for k, v in q.items()}) for n, q in zip(names, parms, strict=True)]
 
 
-def decode(data: bytes, chain: list[tuple[str, dict]]) -> bytes:
+def decode(data: bytes, chain: list[tuple[str, dict]], limit: int | None = None, lenient: bool = False, get=lambda x: x) -> bytes:
+    """Undoes a chain of filters. CCITT images become packed rows; those of other image codecs are errors."""
     for name, params in chain:
         if name == "FlateDecode":
-            data = unpredict(flate_decode(data), params)
+            data = unpredict(flate_decode(data, limit, lenient), params)
         elif name == "LZWDecode":
             data = unpredict(lzw_decode(data, params.get("EarlyChange", 1)), params)
         elif name == "ASCIIHexDecode":
@@ -311,11 +335,27 @@ def decode(data: bytes, chain: list[tuple[str, dict]]) -> bytes:
             data = ascii85_decode(data)
         elif name == "RunLengthDecode":
             data = run_length_decode(data)
-        elif name != "Crypt":
+        elif name == "CCITTFaxDecode":
+            from . import ccitt
+
+            data = ccitt.decode(data, params)
+        else:
             raise PdfError("filter:" + name)
+        if limit is not None and len(data) > limit:
+            raise PdfError("limit")
     return data
 
 
+def alpha_mode(d: dict, get=lambda x: x) -> int:
+    """SMaskInData of an image: 0 none, 1 alpha, 2 premultiplied; only JPX images have it, and other values are errors."""
+    if not filters(d, get) or filters(d, get)[-1][0] != "JPXDecode":
+        return 0
+    mode = get(d.get("SMaskInData", 0))
+    if mode not in (0, 1, 2) or isinstance(mode, bool):
+        raise PdfError("smask-in-data")
+    return mode
+
+
 # --- encryption (security handler revisions 2 to 6) ---
 
 #: Fixed value of the PDF format.
@@ -442,18 +482,29 @@ class Document:
     repaired: bool = False
     security: Security | None = None
     warnings: list[str] = field(default_factory=list)
+    lenient: bool = False  # damaged Flate streams give what came before the damage
+    limit: int | None = None  # bytes that a stream may decode to
+    _bodies: dict = field(default_factory=dict)
     _cache: dict = field(default_factory=dict)
     _open: set = field(default_factory=set)
 
     @classmethod
-    def load(cls, data: bytes, password: bytes = b"") -> Document:
-        doc = cls(data, password)
+    def load(cls, data: bytes, password: bytes | str = b"", lenient: bool = False, limit: int | None = None) -> Document:
+        """A password in characters is tried as UTF-8, then as Latin-1, as older handlers have it."""
+        if isinstance(password, str):
+            try:
+                return cls.load(data, password.encode("utf-8"), lenient, limit)
+            except PdfError as e:
+                if e.code != "encryption:password" or password.isascii():
+                    raise
+                return cls.load(data, password.encode("latin-1", "replace"), lenient, limit)
+        doc = cls(data, password, lenient=lenient, limit=limit)
         try:
             doc._sections()
             ok = isinstance(doc.get(doc.trailer.get("Root")), dict) and "Pages" in doc.get(doc.trailer.get("Root"))
         except (PdfError, EOFError, ValueError, IndexError, KeyError, TypeError, AttributeError):
             ok = False
-        if not ok:
+        if not ok and not doc.repaired:
             doc._repair()
         if isinstance(e := doc.get(doc.trailer.get("Encrypt")), dict):
             ids = doc.get(doc.trailer.get("ID"))
@@ -461,21 +512,24 @@ class Document:
             deep = lambda v: {k: deep(x) for k, x in v.items()} if isinstance(v := doc.get(v), dict) else v
             doc.security = Security(deep(e), first if isinstance(first, bytes) else b"", password)
             doc._cache.clear()
+            doc._bodies.clear()
         if not isinstance(doc.get(doc.trailer.get("Root")), dict):
             raise PdfError("no-root")
         return doc
 
     def version(self) -> str | None:
-        m = re.search(rb"%PDF-(\d\.\d)", self.data[:1024])
+        """The header's version, unless the catalog names another."""
+        m = _VERSION.search(self.data, 0, 2000)
         root = self.get(self.trailer.get("Root"))
         own = self.get(root.get("Version")) if isinstance(root, dict) else None
-        return max(m[1].decode() if m else "", str(own or "")) or None
+        return str(own) if isinstance(own, Name) and re.fullmatch(r"1\.[0-7]|2\.0", own) else m[1].decode() if m else None
 
     def _sections(self) -> None:
-        m = list(re.finditer(rb"startxref\s*(\d+)", self.data[-2048:]))
+        last = self.data.rfind(b"startxref")
+        m = _START.match(self.data, last) if last >= 0 else None
         if not m:
             raise PdfError("startxref")
-        at, seen, n = int(m[-1][1]), set(), 0
+        at, seen, n = int(m[1]), set(), 0
         todo = [at]
         while todo:
             at = todo.pop(0)
@@ -502,14 +556,12 @@ class Document:
                     offset, gen, kind = lex.value(refs=False), lex.value(refs=False), lex.value(refs=False)
                     if kind == "n":
                         self.xref.setdefault(first + i, Entry("offset", offset, gen, n))
-                    elif kind == "f":
-                        self.xref.setdefault(first + i, Entry("free", 0, gen, n))
-                    else:
+                    elif kind != "f":  # a free entry says nothing: an older section may still have the object
                         raise PdfError("xref")
         _, _, s = self._object_at(at)
         if not isinstance(s, Stream):
             raise PdfError("xref")
-        rows, w = decode(s.raw, filters(s.dict)), s.dict["W"]
+        rows, w = decode(s.raw, filters(s.dict), self.limit, self.lenient), s.dict["W"]
         index = s.dict.get("Index", [0, s.dict["Size"]])
         i = 0
         for first, count in zip(index[::2], index[1::2], strict=True):
@@ -518,8 +570,8 @@ class Document:
                 for k, size in enumerate(w):
                     f.append(int.from_bytes(rows[i : i + size], "big") if size else int(k == 0))
                     i += size
-                entry = {1: ("offset", f[1], f[2]), 2: ("objstm", f[1], f[2])}.get(f[0], ("free", 0, f[2]))
-                self.xref.setdefault(num, Entry(*entry, n))
+                if f[0] in (1, 2):
+                    self.xref.setdefault(num, Entry("offset" if f[0] == 1 else "objstm", f[1], f[2], n))
         return s.dict
 
     def _object_at(self, at: int) -> tuple[int, int, object]:
@@ -547,6 +599,7 @@ class Document:
         self.repaired = True
         self.xref.clear()
         self._cache.clear()
+        self._bodies.clear()
         self.warnings.append("repaired")
         trailer: dict = {}
         for m in _OBJ.finditer(self.data):
@@ -563,17 +616,29 @@ class Document:
             except (PdfError, EOFError):
                 continue
             if isinstance(v, Stream) and v.dict.get("Type") == "ObjStm":
-                for i, inner in enumerate(self._members(v)):
+                try:
+                    members = self._body(num)[1]
+                except (PdfError, EOFError):
+                    members = {}
+                for i, inner in enumerate(members):
                     self.xref.setdefault(inner, Entry("objstm", num, i))
             if isinstance(v, Stream) and v.dict.get("Type") == "XRef":
                 trailer = {k: x for k, x in v.dict.items() if k in ("Root", "Info", "ID", "Encrypt")} | trailer
             if isinstance(v, dict) and v.get("Type") == "Catalog":
                 trailer.setdefault("Root", Ref(num, 0))
-        self.trailer = trailer
-
-    def _members(self, s: Stream) -> list[int]:
-        lex = Lexer(self.decoded(s))
-        return [lex.value(refs=False) for _ in range(2 * s.dict.get("N", 0))][::2]
+        self.trailer = trailer | {k: v for k, v in self.trailer.items() if k not in trailer}
+
+    def _body(self, num: int, depth: int = 0) -> tuple[bytes, dict[int, int]]:
+        """An object stream's decoded bytes and where each of its objects begins; read once."""
+        if num not in self._bodies:
+            s = self.get(Ref(num, 0), depth)
+            if not isinstance(s, Stream):
+                raise PdfError("object-stream")
+            body, first = self.decoded(s), self.get(s.dict.get("First"))
+            lex = Lexer(body)
+            heads = [lex.value(refs=False) for _ in range(2 * self.get(s.dict.get("N")))]
+            self._bodies[num] = body, {n: first + at for n, at in zip(heads[::2], heads[1::2], strict=True)}
+        return self._bodies[num]
 
     def get(self, v, depth: int = 0):
         """What a value stands for: references are followed; dangling or circular ones are None."""
@@ -586,18 +651,21 @@ class Document:
             self._open.add(v.num)
             try:
                 if e.kind == "offset":
-                    num, gen, out = self._object_at(e.at)
+                    try:
+                        num, gen, out = self._object_at(e.at)
+                    except (PdfError, EOFError):
+                        num = gen = out = None
                     if num != v.num:
-                        raise PdfError("object")
+                        if self.repaired:
+                            return None
+                        self._repair()  # once: the table lies
+                        self._open.discard(v.num)
+                        return self.get(v, depth + 1)
                     if self.security:
                         out = self._decrypted(out, num, gen)
                 else:
-                    s = self.get(Ref(e.at, 0), depth + 1)
-                    body, lex = self.decoded(s), None
-                    lex = Lexer(body)
-                    heads = [lex.value(refs=False) for _ in range(2 * s.dict["N"])]
-                    at = dict(zip(heads[::2], heads[1::2], strict=True)).get(v.num)
-                    out = Lexer(body, s.dict["First"] + at).value() if at is not None else None
+                    body, at = self._body(e.at, depth + 1)
+                    out = Lexer(body, at[v.num]).value() if v.num in at else None
             finally:
                 self._open.discard(v.num)
             self._cache[v.num] = out
@@ -617,10 +685,34 @@ class Document:
         return v
 
     def decoded(self, s: Stream) -> bytes:
-        return decode(s.raw, filters(s.dict, self.get))
+        return decode(s.raw, filters(s.dict, self.get), self.limit, self.lenient)
+
+    def bounded(self, s: Stream, limit: int) -> tuple[bytes | None, str | None]:
+        """Data of a stream that is plain or has one Flate filter without parameters, up to `limit` bytes; or what is wrong."""
+        chain = filters(s.dict, self.get)
+        if len(chain) > 1 or chain and (chain[0][0] != "FlateDecode" or chain[0][1].get("Predictor", 1) != 1):
+            return None, "unsupported"
+        try:
+            data = flate_decode(s.raw, limit) if chain else s.raw
+        except PdfError as e:
+            return None, e.code
+        return (data, None) if len(data) <= limit else (None, "limit")
 
     def pages(self):
-        """(page dictionary with inherited attributes) in order; a cycle or a second visit ends a branch."""
+        """(page dictionary with inherited attributes) in order. Where the page tree gives none, every dictionary with Contents is a page."""
+        found = False
+        for page in self._tree():
+            found = True
+            yield page
+        if not found:
+            for num in sorted(self.xref):
+                v = self.get(Ref(num, 0))
+                if isinstance(v, dict) and "Contents" in v and v.get("Type") in (None, "Page"):
+                    res = self.get(v.get("Resources"))
+                    yield v | {"Resources": [res] if isinstance(res, dict) else []}
+
+    def _tree(self):
+        """Pages by the page tree; a cycle or a second visit ends a branch."""
         root = self.get(self.trailer["Root"])
         seen: set[int] = set()
         todo = [(root.get("Pages"), {}, 0)]
@@ -639,7 +731,7 @@ class Document:
             kids = self.get(node.get("Kids"))
             if isinstance(kids, list) and node.get("Type") != "Page":
                 todo += [(k, own, depth + 1) for k in reversed(kids)]
-            else:
+            elif node.get("Type") != "Pages":
                 yield node | own
 
     def content(self, page: dict) -> bytes:
@@ -660,7 +752,7 @@ _END_IMAGE = re.compile(rb"[\0\t\n\f\r ]EI(?=[\0\t\n\f\r ]|$)")
 
 
 def operators(content: bytes):
-    """(operator, operands) of a content stream; an inline image is one `BI` with its dictionary and bytes."""
+    """(operator, operands) of a content stream; an inline image is one `BI` with its dictionary and bytes. An operand too many ends it."""
     lex, stack = Lexer(content), []
     while True:
         try:
@@ -668,6 +760,8 @@ def operators(content: bytes):
         except EOFError:
             return
         if not isinstance(v, Keyword):
+            if len(stack) == MAX_OPERANDS:
+                return
             stack.append(v)
             continue
         if v == "BI":
@@ -688,3 +782,51 @@ def operators(content: bytes):
             stack, lex.at = [d, content[lex.at + 1 : end]], m.end() if m else len(content)
         yield str(v), stack
         stack = []
+
+
+#: The operands of each operator. n number, N name, s string, a array, d dictionary, * any, + numbers and a name last.
+OPERANDS = {
+    "b": "", "B": "", "b*": "", "B*": "", "BDC": "N*", "BI": "ds", "BMC": "N", "BT": "", "BX": "", "c": "nnnnnn", "cm": "nnnnnn", "CS": "N", "cs": "N", "d": "an", "d0": "nn", "d1": "nnnnnn",
+    "Do": "N", "DP": "N*", "EMC": "", "ET": "", "EX": "", "f": "", "F": "", "f*": "", "G": "n", "g": "n", "gs": "N", "h": "", "i": "n", "j": "n", "J": "n", "K": "nnnn", "k": "nnnn", "l": "nn", "m": "nn",
+    "M": "n", "MP": "N", "n": "", "q": "", "Q": "", "re": "nnnn", "RG": "nnn", "rg": "nnn", "ri": "N", "s": "", "S": "", "SC": "+", "sc": "+", "SCN": "+", "scn": "+", "sh": "N", "T*": "", "Tc": "n", "Td": "nn",
+    "TD": "nn", "Tf": "Nn", "Tj": "s", "TJ": "a", "TL": "n", "Tm": "nnnnnn", "Tr": "n", "Ts": "n", "Tw": "n", "Tz": "n", "v": "nnnn", "w": "n", "W": "", "W*": "", "y": "nnnn", "'": "s", '"': "nns",
+}
+_PATHS = frozenset("m l c v y re h".split())
+
+
+def _is_number(v) -> bool:
+    return isinstance(v, (int, float)) and not isinstance(v, bool)
+
+
+_IS = {
+    "n": _is_number, "N": lambda v: isinstance(v, Name), "s": lambda v: isinstance(v, bytes), "a": lambda v: isinstance(v, list), "d": lambda v: isinstance(v, dict),
+    "*": lambda v: isinstance(v, (dict, Name)),
+}
+_CHECKS = {op: tuple(_IS[k] for k in want) for op, want in OPERANDS.items() if want != "+"}
+
+
+def fits(op: str, operands: list) -> bool:
+    """Whether the last operands are what the operator takes."""
+    if op not in _CHECKS:
+        numbers = operands[:-1] if operands and isinstance(operands[-1], Name) else operands
+        return bool(operands) and all(map(_is_number, numbers))
+    checks = _CHECKS[op]
+    if len(operands) < len(checks):
+        return False
+    for check, v in zip(checks, operands[len(operands) - len(checks) :], strict=True):
+        if not check(v):
+            return False
+    return True
+
+
+def typed_operators(content: bytes):
+    """(operator, its operands, fallback): fallback marks unknown operators and those whose operands do not fit; a path operator
+    of that kind ends the stream, as what follows would draw at random."""
+    for op, operands in operators(content):
+        if op in OPERANDS and fits(op, operands):
+            n = len(OPERANDS[op])
+            yield op, operands if OPERANDS[op] == "+" else operands[len(operands) - n :] if n else [], False
+        elif op in _PATHS:
+            return
+        else:
+            yield op, operands, True

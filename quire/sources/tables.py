@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .fonts import Font
-from .syntax import Document, Name, PdfError, Ref, Stream, operators
+from .encodings import encoding
+from .interpret import ERRORS, Events, shading
+from .interpret import number as _number
+from .layers import Layers
+from .syntax import Document, Name, Ref, Stream, operators, typed_operators
 
-ERRORS = (PdfError, EOFError, ValueError, IndexError, KeyError, TypeError, AttributeError, RecursionError)
-MAX_FORMS = 50
 #: Annotation subtypes of the format.
 SUBTYPES = frozenset(
     "Text Link FreeText Line Square Circle Polygon PolyLine Highlight Underline Squiggly StrikeOut Stamp Caret Ink Popup FileAttachment Sound Movie "
@@ -58,7 +59,8 @@ def kind(v) -> str:
     return next(n for t, n in names if isinstance(v, t))
 
 
-def _table(files: DataFrame, ddl: str, rows: Callable[[Document], Iterator[tuple]], password: str | None = None, failed: Callable[[str], tuple] | None = None) -> DataFrame:
+def _table(files: DataFrame, ddl: str, rows: Callable[[Document], Iterator[tuple]], password: str | bytes | None = None, failed: Callable[[str], tuple] | None = None, **reading) -> DataFrame:
+    """reading: lenient and limit, as Document.load has them."""
     ddl = "doc_id string, " + ddl
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -72,7 +74,7 @@ def _table(files: DataFrame, ddl: str, rows: Callable[[Document], Iterator[tuple
             out: list[tuple] = []
             for doc_id, content in zip(p.column("doc_id").to_pylist(), p.column("content"), strict=True):
                 try:
-                    doc = Document.load(content.as_py() or b"", (password or "").encode("latin-1", "replace"))
+                    doc = Document.load(content.as_py() or b"", password or b"", **reading)
                     out += [(doc_id, *r) for r in rows(doc)]
                 except ERRORS as e:
                     if failed:
@@ -86,17 +88,13 @@ def _table(files: DataFrame, ddl: str, rows: Callable[[Document], Iterator[tuple
     return files.select(F.col("doc_id").cast("string"), "content").mapInArrow(run, ddl)
 
 
-def _number(v, d=0.0) -> float:
-    return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v) else d
-
-
 def _text(v) -> str | None:
     if not isinstance(v, bytes):
         return None
-    return v[2:].decode("utf-16-be", "replace") if v[:2] == b"\xfe\xff" else v.decode("utf-8", "replace") if v[:3] == b"\xef\xbb\xbf" else v.decode("latin-1")
+    return v[2:].decode("utf-16-be", "replace") if v[:2] == b"\xfe\xff" else v.decode("utf-8", "replace") if v[:3] == b"\xef\xbb\xbf" else "".join(encoding("PDFDocEncoding")[c] for c in v)
 
 
-def pdf_documents(files: DataFrame, password: str | None = None) -> DataFrame:
+def pdf_documents(files: DataFrame, password: str | bytes | None = None, **reading) -> DataFrame:
     def rows(d: Document):
         info = d.get(d.trailer.get("Info"))
         info = info if isinstance(info, dict) else {}
@@ -105,14 +103,14 @@ def pdf_documents(files: DataFrame, password: str | None = None) -> DataFrame:
 
     names = "title author subject keywords creator producer creation_date modification_date".split()
     ddl = "length long, version string, n_objects int, n_pages int, repaired boolean, has_ocgs boolean, " + ", ".join(f"{n} string" for n in names) + ", encryption_revision int, encryption_role string, permissions long, load_error string"
-    return _table(files, ddl, rows, password, lambda code: (None,) * 17 + (code,))
+    return _table(files, ddl, rows, password, lambda code: (None,) * 17 + (code,), **reading)
 
 
-def pdf_xref(files: DataFrame, password: str | None = None) -> DataFrame:
-    return _table(files, "obj_num int, gen_num int, section int, kind string, at long", lambda d: ((n, e.gen, e.section, e.kind, e.at) for n, e in sorted(d.xref.items())), password)
+def pdf_xref(files: DataFrame, password: str | bytes | None = None, **reading) -> DataFrame:
+    return _table(files, "obj_num int, gen_num int, section int, kind string, at long", lambda d: ((n, e.gen, e.section, e.kind, e.at) for n, e in sorted(d.xref.items())), password, **reading)
 
 
-def pdf_objects(files: DataFrame, password: str | None = None) -> DataFrame:
+def pdf_objects(files: DataFrame, password: str | bytes | None = None, **reading) -> DataFrame:
     def rows(d: Document):
         for n, e in sorted(d.xref.items()):
             if e.kind != "free":
@@ -122,7 +120,7 @@ def pdf_objects(files: DataFrame, password: str | None = None) -> DataFrame:
                     continue
                 yield n, e.gen if e.kind == "offset" else 0, kind(v), json.dumps(as_json(v))
 
-    return _table(files, "obj_num int, gen_num int, kind string, value string", rows, password)
+    return _table(files, "obj_num int, gen_num int, kind string, value string", rows, password, **reading)
 
 
 def _refs(v, path=""):
@@ -135,7 +133,7 @@ def _refs(v, path=""):
             yield from _refs(x, f"{path}/{k}")
 
 
-def pdf_refs(files: DataFrame, password: str | None = None) -> DataFrame:
+def pdf_refs(files: DataFrame, password: str | bytes | None = None, **reading) -> DataFrame:
     """The edges of the object graph, for joins and closures."""
 
     def rows(d: Document):
@@ -146,10 +144,10 @@ def pdf_refs(files: DataFrame, password: str | None = None) -> DataFrame:
                 continue
             yield from ((n, p, r.num, r.gen) for p, r in _refs(v))
 
-    return _table(files, "src_num int, path string, dst_num int, dst_gen int", rows, password)
+    return _table(files, "src_num int, path string, dst_num int, dst_gen int", rows, password, **reading)
 
 
-def pdf_streams(files: DataFrame, password: str | None = None, contents: bool = True) -> DataFrame:
+def pdf_streams(files: DataFrame, password: str | bytes | None = None, contents: bool = True, **reading) -> DataFrame:
     from .syntax import filters
 
     def rows(d: Document):
@@ -166,7 +164,7 @@ def pdf_streams(files: DataFrame, password: str | None = None, contents: bool =
                     error = getattr(x, "code", type(x).__name__)
                 yield n, [f for f, _ in filters(s.dict, d.get)], len(s.raw), len(body) if body is not None else None, body if contents else None, error
 
-    return _table(files, "obj_num int, filters array<string>, raw_length long, length long, decoded binary, error string", rows, password)
+    return _table(files, "obj_num int, filters array<string>, raw_length long, length long, decoded binary, error string", rows, password, **reading)
 
 
 def _box(d: Document, page: dict, key: str) -> list[float] | None:
@@ -177,7 +175,7 @@ def _box(d: Document, page: dict, key: str) -> list[float] | None:
     return [min(x0, x1), min(y0, y1), max(x0, x1), max(y0, y1)]
 
 
-def pdf_pages(files: DataFrame, password: str | None = None) -> DataFrame:
+def pdf_pages(files: DataFrame, password: str | bytes | None = None, **reading) -> DataFrame:
     """Page attributes with inheritance; sizes follow by the functions of quire.functions.geometry."""
 
     def rows(d: Document):
@@ -191,11 +189,12 @@ def pdf_pages(files: DataFrame, password: str | None = None) -> DataFrame:
                 error = getattr(e, "code", type(e).__name__)
             yield i, media, _box(d, p, "CropBox") or media, int(_number(d.get(p.get("Rotate")))), _number(unit) if unit is not None else None, content, error
 
-    return _table(files, "page_index int, media_box array<double>, crop_box array<double>, rotate int, user_unit double, content_length long, content_error string", rows, password)
+    return _table(files, "page_index int, media_box array<double>, crop_box array<double>, rotate int, user_unit double, content_length long, content_error string", rows, password, **reading)
 
 
-def pdf_ops(files: DataFrame, password: str | None = None) -> DataFrame:
-    """Content operators in order, operands as JSON."""
+def pdf_ops(files: DataFrame, password: str | bytes | None = None, typed: bool = False, operands: bool = True, **reading) -> DataFrame:
+    """Content operators in order, operands as JSON. typed: only as many operands as the operator takes, with fallback where they do
+    not fit. Without `operands` they are not written."""
 
     def rows(d: Document):
         for i, p in enumerate(d.pages()):
@@ -203,153 +202,124 @@ def pdf_ops(files: DataFrame, password: str | None = None) -> DataFrame:
                 body = d.content(p)
             except ERRORS:
                 continue
-            for n, (op, operands) in enumerate(operators(body)):
-                yield i, n, op, [json.dumps(as_json(x)) for x in operands]
+            for n, (op, given, fallback) in enumerate(typed_operators(body) if typed else ((*x, False) for x in operators(body))):
+                yield i, n, op, [json.dumps(as_json(x)) for x in given] if operands else None, fallback
 
-    return _table(files, "page_index int, seq int, op string, operands array<string>", rows, password)
+    return _table(files, "page_index int, seq int, op string, operands array<string>, fallback boolean", rows, password, **reading)
 
 
-def _mul(m, n):
-    return (m[0] * n[0] + m[1] * n[2], m[0] * n[1] + m[1] * n[3], m[2] * n[0] + m[3] * n[2], m[2] * n[1] + m[3] * n[3], m[4] * n[0] + m[5] * n[2] + n[4], m[4] * n[1] + m[5] * n[3] + n[5])
+def _events(files: DataFrame, which: str, ddl: str, password: str | bytes | None, finish=lambda doc, row: row, **reading) -> DataFrame:
+    def rows(d: Document):
+        for i, p in enumerate(d.pages()):
+            try:
+                body = d.content(p)
+            except ERRORS:
+                continue
+            for n, (_, row) in enumerate(e for e in Events(d).run(body, p) if e[0] == which):
+                yield i, n, *finish(d, row)
 
+    return _table(files, ddl, rows, password, **reading)
 
-IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
-START = {"ctm": IDENTITY, "font": None, "name": "", "size": 0.0, "Tc": 0.0, "Tw": 0.0, "Tz": 1.0, "TL": 0.0, "Ts": 0.0, "Tr": 0, "width": 1.0}
-PATH = frozenset("m l c v y h re".split())
-#: Painting operators: fill, stroke and fill rule.
-PAINT = {"S": (False, True, None), "s": (False, True, None), "f": (True, False, "nonzero"), "F": (True, False, "nonzero"), "f*": (True, False, "evenodd"), "B": (True, True, "nonzero"), "B*": (True, True, "evenodd"), "b": (True, True, "nonzero"), "b*": (True, True, "evenodd"), "n": (False, False, None)}
 
+def pdf_text_runs(files: DataFrame, password: str | bytes | None = None, **reading) -> DataFrame:
+    """Shown strings as Unicode, with their place in page space, advance (downwards in vertical writing), rendering mode and colour."""
+    return _events(files, "text", "page_index int, seq int, font string, size double, x double, y double, advance double, render_mode int, text string, visible boolean, color array<double>, alpha double", password, **reading)
 
-class Events:
-    """Runs a page's operators over a graphics state and yields events: ("text", ...), ("path", ...) and ("image", ...)."""
 
-    def __init__(self, doc: Document):
-        self.doc, self.fonts = doc, {}
+def pdf_images(files: DataFrame, password: str | bytes | None = None, pixels: bool = False, **reading) -> DataFrame:
+    """Images as drawn; `pixels` adds their samples as sRGB bytes (one byte of coverage for masks), where a filter is no image codec but CCITT."""
+    from .images import rgb
 
-    def font(self, page: dict, name: str) -> Font | None:
-        d = self.doc.resource(page, "Font", name)
-        if not isinstance(d, dict):
-            return None
-        if id(d) not in self.fonts:
-            try:
-                self.fonts[id(d)] = Font(self.doc, d)
-            except ERRORS:
-                self.fonts[id(d)] = None
-        return self.fonts[id(d)]
-
-    def run(self, body: bytes, page: dict, ctm=IDENTITY, depth: int = 0):
-        s, stack = {**START, "ctm": ctm}, []
-        path: list[tuple[str, list[float]]] = []
-        tm = tlm = IDENTITY
-        for op, a in operators(body):
+    def finish(doc: Document, row: tuple) -> tuple:
+        *facts, x, defaults = row
+        data = error = None
+        if pixels:
             try:
-                if op == "q":
-                    stack.append(dict(s))
-                elif op == "Q":
-                    s = stack.pop() if stack else s
-                elif op == "cm":
-                    s["ctm"] = _mul(tuple(map(float, a[:6])), s["ctm"])
-                elif op in PATH:
-                    points = [float(v) for v in a]
-                    if op == "re":
-                        x, y, dx, dy = points
-                        path += [("m", [x, y]), ("l", [x + dx, y]), ("l", [x + dx, y + dy]), ("l", [x, y + dy]), ("h", [])]
-                    elif op in ("v", "y"):  # a control point that is the current point, or the end
-                        path.append(("c", [*path[-1][1][-2:], *points] if op == "v" else [*points, *points[-2:]]))
-                    else:
-                        path.append((op, points))
-                elif op in PAINT:
-                    if path and op != "n":
-                        fill, stroke, rule = PAINT[op]
-                        if op in "sbb*" and path[-1][0] != "h":
-                            path.append(("h", []))
-                        yield "path", (fill, stroke, rule, [{"verb": v, "points": p} for v, p in path], s["width"], list(s["ctm"]))
-                    path = []
-                elif op == "w":
-                    s["width"] = float(a[0])
-                elif op == "BT":
-                    tm = tlm = IDENTITY
-                elif op == "Tf":
-                    s["font"], s["name"], s["size"] = self.font(page, a[0]), str(a[0]), float(a[1])
-                elif op in ("Tc", "Tw", "TL", "Ts"):
-                    s[op] = float(a[0])
-                elif op == "Tz":
-                    s["Tz"] = a[0] / 100
-                elif op == "Tr":
-                    s["Tr"] = int(a[0])
-                elif op in ("Td", "TD"):
-                    if op == "TD":
-                        s["TL"] = -float(a[1])
-                    tm = tlm = _mul((1, 0, 0, 1, float(a[0]), float(a[1])), tlm)
-                elif op == "Tm":
-                    tm = tlm = tuple(map(float, a[:6]))
-                elif op in ("T*", "'", '"'):
-                    tm = tlm = _mul((1, 0, 0, 1, 0, -s["TL"]), tlm)
-                    if op == '"':
-                        s["Tw"], s["Tc"] = float(a[0]), float(a[1])
-                if op in ("Tj", "TJ", "'", '"'):
-                    parts = a[-1] if op == "TJ" else [a[-1]]
-                    text, begin = [], tm
-                    for x in parts:
-                        if isinstance(x, bytes) and s["font"]:
-                            shown = s["font"].shown(x)
-                            text += [u for u, _, _ in shown]
-                            w = sum(w for _, w, _ in shown) / 1000 * s["size"] + s["Tc"] * len(shown) + s["Tw"] * sum(b for _, _, b in shown)
-                            tm = _mul((1, 0, 0, 1, w * s["Tz"], 0), tm)
-                        elif isinstance(x, (int, float)):
-                            tm = _mul((1, 0, 0, 1, -x / 1000 * s["size"] * s["Tz"], 0), tm)
-                    m = _mul(_mul((1, 0, 0, 1, 0, s["Ts"]), begin), s["ctm"])
-                    end = _mul(tm, s["ctm"])
-                    yield "text", (s["name"], s["size"], m[4], m[5], end[4] - m[4], s["Tr"], "".join(text))
-                elif op == "BI":
-                    yield "image", self._image({{"W": "Width", "H": "Height", "BPC": "BitsPerComponent", "CS": "ColorSpace", "F": "Filter", "IM": "ImageMask"}.get(k, k): v for k, v in a[0].items()}, s)
-                elif op == "Do":
-                    x = self.doc.resource(page, "XObject", a[0])
-                    if isinstance(x, Stream) and x.dict.get("Subtype") == "Image":
-                        yield "image", self._image(x.dict, s)
-                    elif isinstance(x, Stream) and x.dict.get("Subtype") == "Form" and depth < MAX_FORMS:
-                        own = self.doc.get(x.dict.get("Resources"))
-                        inner = {**page, "Resources": [*page.get("Resources", []), *([own] if isinstance(own, dict) else [])]}
-                        m = self.doc.get(x.dict.get("Matrix")) or IDENTITY
-                        yield from self.run(self.doc.decoded(x), inner, _mul(tuple(_number(self.doc.get(v)) for v in m), s["ctm"]), depth + 1)
-            except ERRORS:
-                continue  # an operator whose operands do not fit is skipped
+                data = rgb(doc, x, defaults())
+            except ERRORS as e:
+                error = getattr(e, "code", type(e).__name__)
+        return *facts, data, error
+
+    ddl = "page_index int, seq int, width int, height int, bits int, color_space string, filters array<string>, is_mask boolean, ctm array<double>, interpolate boolean, has_soft_mask boolean, decode array<double>, alpha double, blend_mode string, visible boolean, data binary, error string"
+    return _events(files, "image", ddl, password, finish, **reading)
 
-    def _image(self, d: dict, s: dict) -> tuple:
-        get = self.doc.get
-        f = get(d.get("Filter"))
-        return int(_number(get(d.get("Width")))), int(_number(get(d.get("Height")))), int(_number(get(d.get("BitsPerComponent")), 8)), json.dumps(as_json(get(d.get("ColorSpace")))), [str(x) for x in (f if isinstance(f, list) else [f] if f else [])], get(d.get("ImageMask")) is True, list(s["ctm"])
 
+def pdf_paths(files: DataFrame, password: str | bytes | None = None, **reading) -> DataFrame:
+    """Painted paths in user space, with the matrix to page space and all of the graphics state that they are painted with;
+    rectangles and shorthand curves are spelled out."""
+    ddl = (
+        "page_index int, seq int, fill boolean, stroke boolean, fill_rule string, segments array<struct<verb: string, points: array<double>>>, line_width double, ctm array<double>, line_cap int, "
+        "line_join int, miter_limit double, dash array<double>, dash_phase double, flatness double, intent string, fill_space string, fill_components array<double>, fill_pattern string, "
+        "fill_color array<double>, stroke_space string, stroke_components array<double>, stroke_pattern string, stroke_color array<double>, fill_alpha double, stroke_alpha double, "
+        "blend_mode string, soft_mask string, clips int, clip_box array<double>, rect array<double>, hairline boolean, visible boolean"
+    )
+    return _events(files, "path", ddl, password, **reading)
+
+
+def pdf_shadings(files: DataFrame, password: str | bytes | None = None, **reading) -> DataFrame:
+    """Shadings painted by `sh`, and those of shading patterns in the pages' resources (drawn false)."""
 
-def _events(files: DataFrame, which: str, ddl: str, password: str | None) -> DataFrame:
     def rows(d: Document):
         for i, p in enumerate(d.pages()):
+            events = Events(d)
             try:
                 body = d.content(p)
             except ERRORS:
-                continue
-            for n, (_, row) in enumerate(e for e in Events(d).run(body, p) if e[0] == which):
-                yield i, n, *row
+                body = b""
+            for _, row in (e for e in events.run(body, p) if e[0] == "shading"):
+                yield i, None, *row[:-1], True, row[-1]
+            for scope in p.get("Resources", []):
+                group = d.get(scope.get("Pattern"))
+                for name, v in sorted(group.items()) if isinstance(group, dict) else ():
+                    v = d.get(v)
+                    if isinstance(v, dict) and d.get(v.get("PatternType")) == 2:
+                        try:
+                            m = [_number(d.get(x)) for x in d.get(v.get("Matrix")) or (1, 0, 0, 1, 0, 0)]
+                            yield i, name, *shading(d, v.get("Shading"), lambda x, p=p: events.space(p, x)), m, False, True
+                        except ERRORS:
+                            continue
 
-    return _table(files, ddl, rows, password)
+    ddl = "page_index int, pattern string, kind int, color_space string, bbox array<double>, background array<double>, coords array<double>, domain array<double>, extend array<boolean>, n_functions int, matrix array<double>, drawn boolean, visible boolean"
+    return _table(files, ddl, rows, password, **reading)
 
 
-def pdf_text_runs(files: DataFrame, password: str | None = None) -> DataFrame:
-    """Shown strings as Unicode, with their place in page space, advance and rendering mode."""
-    return _events(files, "text", "page_index int, seq int, font string, size double, x double, y double, advance double, render_mode int, text string", password)
+def pdf_patterns(files: DataFrame, password: str | bytes | None = None, **reading) -> DataFrame:
+    """Tiling patterns of the pages' resources."""
+
+    def rows(d: Document):
+        for i, p in enumerate(d.pages()):
+            for scope in p.get("Resources", []):
+                group = d.get(scope.get("Pattern"))
+                for name, v in sorted(group.items()) if isinstance(group, dict) else ():
+                    v = d.get(v)
+                    if isinstance(v, Stream) and d.get(v.dict.get("PatternType")) == 1:
+                        get = lambda k, v=v: d.get(v.dict.get(k))
+                        m = [_number(d.get(x)) for x in get("Matrix") or (1, 0, 0, 1, 0, 0)]
+                        yield i, name, get("PaintType") == 1, [_number(d.get(x)) for x in get("BBox") or ()], abs(_number(get("XStep"))), abs(_number(get("YStep"))), m, sum(1 for _ in operators(d.decoded(v)))
+
+    return _table(files, "page_index int, pattern string, colored boolean, bbox array<double>, x_step double, y_step double, matrix array<double>, n_operators int", rows, password, **reading)
 
 
-def pdf_images(files: DataFrame, password: str | None = None) -> DataFrame:
-    return _events(files, "image", "page_index int, seq int, width int, height int, bits int, color_space string, filters array<string>, is_mask boolean, ctm array<double>", password)
+def pdf_fonts(files: DataFrame, password: str | bytes | None = None, **reading) -> DataFrame:
+    """Fonts of the pages' resources: what they are, what stands in for them, and glyph programs of Type 3 fonts."""
+    from .fonts import Font
 
+    def rows(d: Document):
+        for i, p in enumerate(d.pages()):
+            for scope in p.get("Resources", []):
+                group = d.get(scope.get("Font"))
+                for name, v in sorted(group.items()) if isinstance(group, dict) else ():
+                    try:
+                        f = Font(d, d.get(v))
+                    except ERRORS:
+                        continue
+                    yield i, name, f.name, f.kind, f.standard, f.fallback, sorted(f.flags), f.ascent, f.descent, f.stretch, f.vertical, [{"name": g, "kind": k, "width": w, "bbox": b, "n_operators": n} for g, k, w, b, n in f.programs]
 
-def pdf_paths(files: DataFrame, password: str | None = None) -> DataFrame:
-    """Painted paths in user space, with the matrix to page space; rectangles and shorthand curves are spelled out."""
-    ddl = "page_index int, seq int, fill boolean, stroke boolean, fill_rule string, segments array<struct<verb: string, points: array<double>>>, line_width double, ctm array<double>"
-    return _events(files, "path", ddl, password)
+    ddl = "page_index int, resource string, name string, kind string, standard string, fallback string, flags array<string>, ascent double, descent double, stretch double, vertical boolean, programs array<struct<name: string, kind: string, width: double, bbox: array<double>, n_operators: int>>"
+    return _table(files, ddl, rows, password, **reading)
 
 
-def page_svg(files: DataFrame, password: str | None = None) -> DataFrame:
+def page_svg(files: DataFrame, password: str | bytes | None = None, **reading) -> DataFrame:
     """doc_id, page_index and an SVG of the page's paths and text, put together from their rows by DataFrame operations."""
     from ..functions.geometry import page_size
 
@@ -359,18 +329,19 @@ def page_svg(files: DataFrame, password: str | None = None) -> DataFrame:
     shape = F.concat(F.lit('<path d="'), d, F.lit('" transform="'), m, F.when(F.col("fill"), F.lit('" fill-rule="')).otherwise(F.lit('" fill="')), F.coalesce("fill_rule", F.lit("none")), F.when(F.col("stroke"), F.lit('" stroke="#000000"/>')).otherwise(F.lit('"/>')))
     escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     word = F.concat(F.lit('<text transform="translate('), n("x"), F.lit(" "), n("y"), F.lit(') scale(1 -1)" font-size="'), n("size"), F.lit('">'), escaped, F.lit("</text>"))
-    parts = pdf_paths(files, password).select("doc_id", "page_index", F.lit(0).alias("layer"), "seq", shape.alias("e"))
-    parts = parts.unionByName(pdf_text_runs(files, password).where("render_mode <> 3").select("doc_id", "page_index", F.lit(1).alias("layer"), "seq", word.alias("e")))
+    parts = pdf_paths(files, password, **reading).select("doc_id", "page_index", F.lit(0).alias("layer"), "seq", shape.alias("e"))
+    parts = parts.unionByName(pdf_text_runs(files, password, **reading).where("render_mode <> 3").select("doc_id", "page_index", F.lit(1).alias("layer"), "seq", word.alias("e")))
     body = parts.groupBy("doc_id", "page_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("layer", "seq", "e"))), lambda x: x["e"]), "").alias("body"))  # a page's own elements
     box = F.col("crop_box")
     w, h = page_size([box[i] for i in range(4)], F.lit(0), F.lit(1.0))
-    pages = pdf_pages(files, password).select("doc_id", "page_index", n(w).alias("w"), n(h).alias("h"), n(-box[0]).alias("x"), n(box[3]).alias("y"))
+    pages = pdf_pages(files, password, **reading).select("doc_id", "page_index", n(w).alias("w"), n(h).alias("h"), n(-box[0]).alias("x"), n(box[3]).alias("y"))
     svg = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="'), "w", F.lit('" height="'), "h", F.lit('"><g transform="matrix(1 0 0 -1 '), "x", F.lit(" "), "y", F.lit(')">'), F.coalesce("body", F.lit("")), F.lit("</g></svg>"))
     return pages.join(body, ["doc_id", "page_index"], "left").select("doc_id", "page_index", svg.alias("svg"))
 
 
-def pdf_annotations(files: DataFrame, password: str | None = None) -> DataFrame:
+def pdf_annotations(files: DataFrame, password: str | bytes | None = None, **reading) -> DataFrame:
     def rows(d: Document):
+        layers = Layers.of(d)
         for i, p in enumerate(d.pages()):
             for n, x in enumerate(d.get(p.get("Annots")) or []):
                 a = d.get(x)
@@ -380,30 +351,26 @@ def pdf_annotations(files: DataFrame, password: str | None = None) -> DataFrame:
                     if isinstance(look, dict):
                         look = d.get(look.get(state)) if isinstance(state, Name) else None
                     flags, subtype = int(_number(d.get(a.get("F")))), str(d.get(a.get("Subtype")) or "")
-                    yield i, n, subtype, flags, _box(d, a, "Rect"), flags & 34 == 0 and (flags & 1 == 0 or subtype in SUBTYPES), isinstance(look, Stream), _text(d.get(a.get("Contents"))), _text(d.get((d.get(a.get("A")) or {}).get("URI")))
+                    yield i, n, subtype, flags, _box(d, a, "Rect"), flags & 34 == 0 and (flags & 1 == 0 or subtype in SUBTYPES) and layers.visible(a.get("OC")), isinstance(look, Stream), _text(d.get(a.get("Contents"))), _text(d.get((d.get(a.get("A")) or {}).get("URI")))
 
-    return _table(files, "page_index int, annot_index int, subtype string, flags long, rect array<double>, visible boolean, has_appearance boolean, contents string, uri string", rows, password)
+    return _table(files, "page_index int, annot_index int, subtype string, flags long, rect array<double>, visible boolean, has_appearance boolean, contents string, uri string", rows, password, **reading)
 
 
-def pdf_ocgs(files: DataFrame, password: str | None = None) -> DataFrame:
+def pdf_ocgs(files: DataFrame, password: str | bytes | None = None, **reading) -> DataFrame:
     """Layers with their state in the default configuration: BaseState, then ON, then OFF, which wins."""
 
     def rows(d: Document):
         props = d.get(d.get(d.trailer["Root"]).get("OCProperties"))
-        if not isinstance(props, dict):
-            return
-        conf = d.get(props.get("D")) or {}
-        nums = lambda v: {r.num for r in d.get(v) or [] if isinstance(r, Ref)}
-        on, off, base = nums(conf.get("ON")), nums(conf.get("OFF")), d.get(conf.get("BaseState"))
-        for r in d.get(props.get("OCGs")) or []:
+        layers = Layers.of(d)
+        for r in d.get(props.get("OCGs")) or [] if isinstance(props, dict) else ():
             if isinstance(r, Ref):
                 g = d.get(r)
-                yield r.num, _text(d.get(g.get("Name"))) if isinstance(g, dict) else None, r.num not in off and (base != "OFF" or r.num in on)
+                yield r.num, _text(d.get(g.get("Name"))) if isinstance(g, dict) else None, layers.state[r.num]
 
-    return _table(files, "obj_num int, name string, active boolean", rows, password)
+    return _table(files, "obj_num int, name string, active boolean", rows, password, **reading)
 
 
-def pdf_marked(files: DataFrame, password: str | None = None) -> DataFrame:
+def pdf_marked(files: DataFrame, password: str | bytes | None = None, **reading) -> DataFrame:
     """Marked-content sections: where they begin and end (null: never), their depth, tag and MCID."""
 
     def rows(d: Document):
@@ -425,16 +392,16 @@ def pdf_marked(files: DataFrame, password: str | None = None) -> DataFrame:
                     done.append(s)
             yield from map(tuple, sorted(done + open_, key=lambda s: s[1]))
 
-    return _table(files, "page_index int, begin_seq int, end_seq int, depth int, tag string, mcid int", rows, password)
+    return _table(files, "page_index int, begin_seq int, end_seq int, depth int, tag string, mcid int", rows, password, **reading)
 
 
 def page_text(runs: DataFrame) -> DataFrame:
-    """doc_id, page_index and text: the runs of a page in order, one line each. A page's own runs are gathered, nothing more."""
-    by = runs.groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("r"))
+    """doc_id, page_index and text: the runs of a page in order, one line each, hidden layers left out. A page's own runs are gathered, nothing more."""
+    by = runs.where("visible").groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("r"))
     return by.select("doc_id", "page_index", F.array_join(F.transform("r", lambda r: r["text"]), "\n").alias("text"))
 
 
-def extract_pages(files: DataFrame, first: int = 0, last: int | None = None, password: str | None = None) -> DataFrame:
+def extract_pages(files: DataFrame, first: int = 0, last: int | None = None, password: str | bytes | None = None, **reading) -> DataFrame:
     """A new file for each input with the pages first..last: everything they reach, renumbered as first seen; dangling references are null."""
     from .writer import write
 
@@ -477,7 +444,7 @@ def extract_pages(files: DataFrame, first: int = 0, last: int | None = None, pas
         objects[1], objects[2] = {"Type": Name("Catalog"), "Pages": Ref(2, 0)}, {"Type": Name("Pages"), "Kids": kids, "Count": len(kids)}
         yield len(kids), write(objects, Ref(1, 0))
 
-    return _table(files, "n_pages int, content binary", rows, password)
+    return _table(files, "n_pages int, content binary", rows, password, **reading)
 
 
 def from_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
