@@ -106,6 +106,20 @@ def pdf_documents(files: DataFrame, password: str | bytes | None = None, **readi
     return _table(files, ddl, rows, password, lambda code: (None,) * 17 + (code,), **reading)
 
 
+def pdf_repairs(files: DataFrame, password: str | bytes | None = None, **reading) -> DataFrame:
+    """Whether a file had to be repaired once all of its objects are read: offsets that lie show only then."""
+
+    def rows(d: Document):
+        for n in list(d.xref):
+            try:
+                d.get(Ref(n, 0))
+            except ERRORS:
+                continue
+        yield (d.repaired,)
+
+    return _table(files, "repaired boolean", rows, password, **reading)
+
+
 def pdf_xref(files: DataFrame, password: str | bytes | None = None, **reading) -> DataFrame:
     return _table(files, "obj_num int, gen_num int, section int, kind string, at long", lambda d: ((n, e.gen, e.section, e.kind, e.at) for n, e in sorted(d.xref.items())), password, **reading)
 
