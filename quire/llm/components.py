@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def _stars(edges: DataFrame, both: bool) -> DataFrame:
@@ -29,6 +29,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == sign or not new[0]:
             break
-        sign = new
+        sign, last = new, now
         now = materialize(_stars(_stars(now, True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False), label)
+        release(last)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -5,10 +5,14 @@ Texts whose sets of shingles (five words in lower case; a shorter text is one sh
 sets that similar share a shingle in the first n - ceil(4n / 5) + 1 of each (prefix filter). Pairs that share one are
 kept when they share as many as 4/5 demands, and then decided by their whole sets.
 
-Equal texts are one node from the start. Where over `WIDE` rows share a shingle, each is first compared with the
-least of them; after that only pairs in different components are listed, so a group of near copies costs its size,
-not its square. Frequent shingles come late in the order, so that common lines rarely bring pairs about. What is
-frequent is estimated from a sample and bounded; the order only saves work and no result hangs on it.
+Equal texts are one node from the start. First those pairs are compared that the SimHash operator links, by Golay keys
+over fingerprints of five-word shingles; with them, each text and one other, the one with which it shares the
+most shingles of those where that is the least text. A fingerprint's radius misses many texts alike to 4/5, so the
+rest is found by their shingles: where over `WIDE` texts share a shingle, each of them is then
+compared with the least of another component. After that only pairs in different components are listed, so a group of
+near copies costs its size, not its square. Frequent shingles come late in the order, so that common lines rarely
+bring pairs about. What is frequent is estimated from a sample and bounded; the order only saves work and no result
+hangs on it.
 
 Cases: null text is empty; texts without words are alike. Null ids take part. Shingles are compared by 64-bit hashes.
 """
@@ -23,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize
+from . import simhash
+from .common import materialize, release
 from .components import components
 from .hashing import mix, word_hashes
 
@@ -108,7 +113,37 @@ def verified(pairs: DataFrame, docs: DataFrame, copied: dict[int, int], label: s
 
     sets = materialize(_rows(docs).mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"]), f"{label}_sets")
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
-    return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    out = materialize(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), f"{label}_links")
+    release(pairs, sets)
+    return out
+
+
+def _near(x: Column, y: Column) -> Column:
+    return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
+
+
+def _enough(x: Column, y: Column) -> Column:
+    """How many shingles of their first ones sets of x and y must share: the set whose prefix ends first has all that both
+    share of it in the other's prefix."""
+    return F.floor((4 * (x + y) + 8) / 9) - F.floor((4 * F.greatest(x, y) + 4) / 5) + 1
+
+
+def _rooted(shared: DataFrame, stars: DataFrame, label: str) -> DataFrame:
+    """(key, node, n, size, root) of the keys that nodes of several components share, written."""
+    roots = components(stars, f"{label}_roots")
+    by = W.partitionBy("key")
+    rooted = shared.select("key", "node", "n", "size").join(roots, "node", "left").select("key", "node", "n", "size", F.coalesce("root", "node").alias("root"))
+    rooted = rooted.select("*", F.min("root").over(by).alias("lo"), F.max("root").over(by).alias("hi")).where("lo <> hi").drop("lo", "hi")
+    return materialize(rooted, f"{label}_rooted")
+
+
+def _by_fingerprint(docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes by the SimHash operator: a fingerprint's nodes each with its least, and the least ones of linked fingerprints."""
+    made = materialize(simhash.fingerprints(docs.select(node().alias("doc_id"), "text"), SHINGLE).select(F.col("doc_id").alias("node"), "fp").distinct(), "shingle_fingerprints")
+    least = made.groupBy("fp").agg(F.min("node").alias("a"))
+    linked = simhash.links(least.select("fp"))
+    far = linked.join(least.withColumnRenamed("fp", "_a"), linked["a"] == F.col("_a")).select(least["a"].alias("x"), linked["b"].alias("_b")).join(least.select(F.col("fp").alias("_b"), F.col("a").alias("y")), "_b")
+    return made.join(least, "fp").where("node <> a").select("a", F.col("node").alias("b")).unionByName(far.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def links(docs: DataFrame, copied: dict[int, int] | None = None) -> DataFrame:
@@ -116,22 +151,29 @@ def links(docs: DataFrame, copied: dict[int, int] | None = None) -> DataFrame:
     copied = copied or {}
     by = W.partitionBy("key")
     least, most, size = F.min(F.struct("node", "n")).over(by), F.max("node").over(by), F.count(F.lit(1)).over(by)
+    # a node may come from several tasks
     found = tokens(docs, _sampled(docs, copied), copied).select("key", "node", "n", least.alias("least"), most.alias("most"), size.alias("size")).where("least.node <> most")
-    shared = materialize(found.select("key", "node", "n", "least", "size"), "shingles_shared")
-    near = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
-    star = shared.where((F.col("size") > WIDE) & (F.col("node") != F.col("least.node")) & near(F.col("n"), F.col("least.n")))
-    stars = materialize(verified(star.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct(), docs, copied, "shingle_stars"), "shingle_star_links")
-    roots = components(stars, "shingle_roots")
-    rooted = shared.select("key", "node", "n").distinct().join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    ends = F.min("root").over(by), F.max("root").over(by)
-    rooted = materialize(rooted.select("*", ends[0].alias("lo"), ends[1].alias("hi")).where("lo <> hi").drop("lo", "hi"), "shingles_rooted")
+    shared = materialize(found.select("key", "node", "n", "least", "size").distinct(), "shingles_shared")
+    x, y = F.col("n"), F.col("least.n")
+    best = shared.where((F.col("node") != F.col("least.node")) & _near(x, y)).groupBy("node", "n", "least").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= _enough(x, y))
+    best = best.groupBy("node").agg(F.max(F.struct("c", F.col("least.node").alias("a"))).alias("m"))
+    best = best.select("m.a", F.col("node").alias("b")).unionByName(_by_fingerprint(docs))
+    stars = verified(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, copied, "shingle_stars")
+    rooted = _rooted(shared, stars, "shingles")
+    release(shared)
+    if not rooted.where(F.col("size") > WIDE).isEmpty():
+        least = F.min(F.struct("root", "node", "n")).over(by)
+        other = rooted.where(F.col("size") > WIDE).withColumn("least", least).where((F.col("root") != F.col("least.root")) & _near(F.col("n"), F.col("least.n")))
+        stars = stars.unionByName(verified(other.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct(), docs, copied, "shingle_wide"))
+        first, rooted = rooted, _rooted(rooted, stars, "shingles_wide")
+        release(first)
     other = rooted.select("key", F.col("root").alias("root2")).distinct()
     one = rooted.join(other, "key").where("root < root2").select("key", "root2", F.col("node").alias("x"), F.col("n").alias("nx"))
     two = rooted.select("key", F.col("root").alias("root2"), F.col("node").alias("y"), F.col("n").alias("ny"))
-    met = one.join(two, ["key", "root2"]).where(near(F.col("nx"), F.col("ny"))).groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
-    # the set whose prefix ends first has all that both share of it in the other's prefix: at least so many
-    enough = F.floor((4 * (F.col("nx") + F.col("ny")) + 8) / 9) - F.floor((4 * F.greatest("nx", "ny") + 4) / 5) + 1
-    return stars.unionByName(verified(met.where(F.col("c") >= enough), docs, copied, "shingle_pairs"))
+    met = one.join(two, ["key", "root2"]).where(_near(F.col("nx"), F.col("ny"))).groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+    rest = verified(met.where(F.col("c") >= _enough(F.col("nx"), F.col("ny"))), docs, copied, "shingle_pairs")
+    release(rooted)
+    return stars.unionByName(rest)
 
 
 def one_each(docs: DataFrame) -> DataFrame:

@@ -34,14 +34,14 @@ GENERATOR = 0b110001110101
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     from xxhash import xxh64_intdigest
 
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
         return 0
     join = b" ".join
-    hashes = [xxh64_intdigest(join(t), SEED) for t in zip(w, w[1:], w[2:], strict=False)] if len(w) >= SHINGLE else [xxh64_intdigest(join(w), SEED)]
+    hashes = [xxh64_intdigest(join(t), SEED) for t in zip(*(w[i:] for i in range(shingle)), strict=False)] if len(w) >= shingle else [xxh64_intdigest(join(w), SEED)]
     h = np.array(hashes, dtype="<u8")
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 1 << 16):
@@ -49,12 +49,12 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp); fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp); fp is the fingerprint as a signed long, of shingles of so many words."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
-            fps = np.array([fingerprint(t.as_py()) for t in p.column("text")], dtype="<u8").astype(np.int64)
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in p.column("text")], dtype="<u8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")

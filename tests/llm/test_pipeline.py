@@ -5,10 +5,15 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline as p
-from quire.llm import decontaminate, quality_rules, queries, simhash
+from quire.llm import decontaminate, quality_rules, queries
 from quire.llm.common import table
 
 
+def _shingles(t):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+
 def test_stages(spark, sf):
     docs = table(spark, sf, "documents")
     every = {r.doc_id: r.text for r in docs.collect()}
@@ -17,8 +22,19 @@ def test_stages(spark, sf):
     bad = {r.doc_id for r in quality_rules.judge(docs, table(spark, sf, "labels")).where("NOT kept").collect()}
     assert {r.doc_id for r in kept.collect()} == set(every) - bad
     once = p.near_duplicates(spark, kept, sf).cache()
-    groups = simhash.report(kept).groupBy("component_id").count().count()
-    assert once.count() == groups
+    sets = {r.doc_id: _shingles(r.text) for r in kept.collect()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert {r.doc_id for r in once.collect()} == {i for i in sets if find(i) == i}
     clean = p.decontamination(spark, once, sf).cache()
     leaks = {r.doc_id for r in decontaminate.find_leaks(once, table(spark, sf, "benchmark")).collect()}
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in once.collect()} - leaks and leaks
