@@ -9,7 +9,7 @@ Equal texts are one node from the start. First those pairs are compared that the
 over fingerprints of five-word shingles; with them, each text and one other, the one with which it shares the
 most shingles of those where that is the least text. A fingerprint's radius misses many texts alike to 4/5, so the
 rest is found by their shingles: where over `WIDE` texts share a shingle, each of them is then
-compared with the least of another component. After that only pairs in different components are listed, so a group of
+compared with STARS of them. After that only pairs in different components are listed, so a group of
 near copies costs its size, not its square. Frequent shingles come late in the order, so that common lines rarely
 bring pairs about. What is frequent is estimated from a sample and bounded; the order only saves work and no result
 hangs on it.
@@ -32,7 +32,7 @@ from .common import materialize, release
 from .components import components
 from .hashing import mix, word_hashes
 
-SHINGLE, WIDE, SAMPLE, COMMON, SLOTS = 5, 64, 16, 1 << 16, 1 << 22
+SHINGLE, WIDE, STARS, SAMPLE, COMMON, SLOTS = 5, 64, 8, 16, 1 << 16, 1 << 22
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -162,9 +162,12 @@ def links(docs: DataFrame, copied: dict[int, int] | None = None) -> DataFrame:
     rooted = _rooted(shared, stars, "shingles")
     release(shared)
     if not rooted.where(F.col("size") > WIDE).isEmpty():
-        least = F.min(F.struct("root", "node", "n")).over(by)
-        other = rooted.where(F.col("size") > WIDE).withColumn("least", least).where((F.col("root") != F.col("least.root")) & _near(F.col("n"), F.col("least.n")))
-        stars = stars.unionByName(verified(other.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct(), docs, copied, "shingle_wide"))
+        # of each such key STARS nodes by as many orders that hold for all keys; each node keeps the STARS it meets most often
+        stars_of = F.array(*[F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "n", "root")).over(by) for i in range(STARS)])
+        other = rooted.where(F.col("size") > WIDE).withColumn("stars", stars_of).withColumn("star", F.explode("stars")).where((F.col("root") != F.col("star.root")) & _near(F.col("n"), F.col("star.n")))
+        met = other.groupBy("node", F.col("star.node").alias("a")).agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "a")), asc=False).alias("m"))
+        pairs = met.select("node", F.explode(F.slice("m", 1, STARS)).alias("m")).select(F.least("node", "m.a").alias("a"), F.greatest("node", "m.a").alias("b")).distinct()
+        stars = stars.unionByName(verified(pairs, docs, copied, "shingle_wide"))
         first, rooted = rooted, _rooted(rooted, stars, "shingles_wide")
         release(first)
     other = rooted.select("key", F.col("root").alias("root2")).distinct()
