@@ -43,7 +43,7 @@ def keys(url: Column) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, pattern, action, valid_from, valid_to) from (list, pattern, action, day, op); valid_to null: still active."""
     e = entries.where(F.col("pattern").isNotNull() & F.col("day").isNotNull()).select("list", "pattern", "action", "day", "op").distinct()
-    by = W.partitionBy("list", "pattern", "action").orderBy("day", F.col("op").desc())  # remove before add on one day
+    by = W.partitionBy("list", "pattern", "action").orderBy("day", "op")  # add before remove on one day: what is taken off that day was never on
     e = e.withColumns({"last": F.lag("op").over(by)}).where(F.col("last").isNull() | (F.col("last") != F.col("op")))
     e = e.withColumn("valid_to", F.lead("day").over(by)).where("op = 'add'")
     return e.select("list", "pattern", "action", F.col("day").alias("valid_from"), "valid_to")

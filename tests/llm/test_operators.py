@@ -237,6 +237,17 @@ def test_url_filters(spark):
     assert url_filters.evaluate(captures.limit(0), entries).count() == 0 and url_filters.evaluate(captures, entries.limit(0)).where("blocked").count() == 0
 
 
+def test_url_filters_same_day(spark):
+    """Added and removed on one day: never active. Removed and added again later: active from then on."""
+    import datetime as dt
+
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
+    entries = spark.createDataFrame([("l", "a.example", "block", day(5), "add"), ("l", "a.example", "block", day(5), "remove"), ("l", "b.example", "block", day(3), "add"), ("l", "b.example", "block", day(5), "remove"), ("l", "b.example", "block", day(7), "add")], "list string, pattern string, action string, day date, op string")
+    captures = spark.createDataFrame([(i, f"http://{h}.example/", day(i)) for i in range(10) for h in "ab"], "page_id long, url string, fetched date")
+    blocked = {(r.page_id, r.url[7]) for r in url_filters.evaluate(captures, entries).collect() if r.blocked}
+    assert blocked == {(i, "b") for i in (3, 4, 7, 8, 9)}
+
+
 def test_url_filters_keeps_copies(spark):
     import datetime as dt
 
