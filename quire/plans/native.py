@@ -126,12 +126,13 @@ def matrix_apply(spark, d):
     return t(spark, d, "part").select("p_partkey", r6(x).alias("x"), r6(y).alias("y"), r6(area).alias("area2"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_discount * 10 + l_tax * 10 <= 1 AS inside FROM lineitem WHERE abs(l_discount * 10 + l_tax * 10 - 1) > 1e-9")
+@query("SELECT l_orderkey, l_linenumber, round(l_discount * 100) + round(l_tax * 100) <= 10 AS inside FROM lineitem")
 def point_in_triangle(spark, d):
+    """Whole hundredths, so that points on an edge are exact."""
     n = F.lit
-    p = F.col("l_discount") * 10, F.col("l_tax") * 10
-    inside = geometry.in_triangle(p, (n(0.0), n(0.0)), (n(1.0), n(0.0)), (n(0.0), n(1.0)))
-    return t(spark, d, "lineitem").where(F.abs(p[0] + p[1] - 1) > 1e-9).select(*LINE, inside.alias("inside"))
+    p = F.round(F.col("l_discount") * 100), F.round(F.col("l_tax") * 100)
+    inside = geometry.in_triangle(p, (n(0.0), n(0.0)), (n(10.0), n(0.0)), (n(0.0), n(10.0)))
+    return t(spark, d, "lineitem").select(*LINE, inside.alias("inside"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, ((l_linenumber * 7 + CAST(l_quantity AS INTEGER)) & 34) = 0 AND (((l_linenumber * 7 + CAST(l_quantity AS INTEGER)) & 1) = 0 OR l_returnflag = 'N') AS visible FROM lineitem""")
@@ -233,19 +234,23 @@ def ocmd_policy(spark, d):
     return g.select("p_type", *[relational.membership(p, F.col("a"), F.col("m")).alias(n) for p, n in (("AllOn", "all_on"), ("AnyOn", "any_on"), ("AnyOff", "any_off"), ("AllOff", "all_off"))])
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation WHERE n_nationkey % 4 = 0),
-  c AS (SELECT 's' || s_suppkey AS node FROM supplier WHERE s_suppkey <= 3 UNION SELECT e.dst FROM c JOIN e ON e.src = c.node)
+@query("""WITH RECURSIVE e AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || n_regionkey, 'c' || n_nationkey FROM nation UNION ALL SELECT 'c' || n_nationkey, 'r' || n_regionkey FROM nation),
+  c AS (SELECT 's' || s_suppkey AS node FROM supplier WHERE s_acctbal < 0 UNION SELECT e.dst FROM c JOIN e ON e.src = c.node)
 SELECT node FROM c""")
 def extract_closure(spark, d):
+    """What suppliers in debt reach: their nations, those nations' regions and the regions' nations, round a cycle. The roots are the feature."""
     s, n = t(spark, d, "supplier"), t(spark, d, "nation")
     k = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    edges = s.select(k("s", "s_suppkey").alias("src"), k("n", "s_nationkey").alias("dst")).unionByName(n.select(k("n", "n_nationkey").alias("src"), k("r", "n_regionkey").alias("dst"))).unionByName(n.where("n_nationkey % 4 = 0").select(k("r", "n_regionkey").alias("src"), k("n", "n_nationkey").alias("dst")))
-    return relational.closure(edges, s.where("s_suppkey <= 3").select(k("s", "s_suppkey").alias("node"))).select("node")
+    edge = lambda df, a, b: df.select(a.alias("src"), b.alias("dst"))
+    edges = edge(s, k("s", "s_suppkey"), k("n", "s_nationkey")).unionByName(edge(n, k("n", "n_nationkey"), k("r", "n_regionkey")))
+    edges = edges.unionByName(edge(n, k("r", "n_regionkey"), k("c", "n_nationkey"))).unionByName(edge(n, k("c", "n_nationkey"), k("r", "n_regionkey")))
+    return relational.closure(edges, s.where("s_acctbal < 0").select(k("s", "s_suppkey").alias("node"))).select("node")
 
 
-@query("SELECT c_nationkey, CASE WHEN count(DISTINCT c_mktsegment) = 1 THEN min(c_mktsegment) END AS c_mktsegment FROM customer WHERE c_custkey % 40 = 1 GROUP BY 1")
+@query("SELECT o_custkey, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) END AS o_orderstatus FROM orders GROUP BY 1")
 def glyph_unique_or_null(spark, d):
-    return relational.agreed(t(spark, d, "customer").where("c_custkey % 40 = 1"), "c_nationkey", "c_mktsegment")
+    """Customers with one order agree on its status, most others conflict."""
+    return relational.agreed(t(spark, d, "orders"), "o_custkey", "o_orderstatus")
 
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents")

@@ -30,7 +30,7 @@ def pdf_document_facts(spark, d):
 
 @query("SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS shown FROM documents")
 def pdf_operator_counts(spark, d):
-    ops = tables.pdf_ops(_files(spark, d)).where("op = 'Tj'")
+    ops = tables.pdf_ops(_files(spark, d), operands=False).where("op = 'Tj'")
     return ops.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("shown"))
 
 
