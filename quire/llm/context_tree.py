@@ -6,13 +6,16 @@ preceding bytes, up to DEPTH of them. A node of such a tree estimates its bit by
 weighted half and half with the product of its children, at all depths, so the mixture over all prunings of the
 tree is exact. A text's score is its log10 probability, with the weights and counts that training left.
 
-Training counts all (context, byte) pairs of the training documents: each task counts its own, the sums are
-shuffled by pair. A context of any depth is a node of its own when it has at least 1 / CONTEXTS of all training
-bytes, so a depth has CONTEXTS nodes at most: that is the proven size of what goes to the driver and is broadcast.
-The rarer contexts below a node share one leaf. The more text, the more exact the counts.
+Every context that training has is a node, however rare. Each task counts the (context, byte) pairs of its documents;
+the sums are shuffled by pair. The nodes below the last CUT bytes of a context are independent of all others but for what
+stands above them, so the tree is worked off in its subtrees, dealt by the context's last CUT + 1 bytes: once upwards, for
+the nodes of depth CUT, which alone go to the driver (65536 contexts at most, a bound by the alphabet), and once
+downwards, for the cost of every pair that any document has. Nodes without counts predict 1/2 and weigh nothing, so
+pairs that training lacks need no rule of their own.
 
-The unigram base needs the count of every token. The most frequent WORDS tokens at most are broadcast (by hash);
-all other tokens are joined with the whole table of counts, so no count is missed.
+The most frequent PAIRS pairs at most are broadcast with their costs; all others are joined with the whole table of
+costs. The unigram base needs the count of every token: the most frequent WORDS tokens at most are broadcast (by
+hash), all others are joined as well. So neither a pair nor a count is missed.
 
 Cases: null text is empty: only the end is scored. Null doc_id counts as the empty text for the split. Repeated
 rows are scored and counted one by one. Empty tables give empty results.
@@ -32,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import crc_mod, materialize
 from .hashing import word_hashes
 
-DEPTH, CONTEXTS, WORDS, CHUNK = 6, 1 << 18, 1 << 20, 2_000_000
+DEPTH, CUT, PAIRS, WORDS, CHUNK, SHORT = 6, 2, 1 << 21, 1 << 20, 2_000_000, 400_000
+#: Pairs of whole subtrees that are worked at a time, or a single subtree of more; rows of a batch of counts.
+PART, ROWS = 1 << 14, 1 << 17
 #: Costs are kept in units of 1 / UNIT of a decimal digit; tables are worked on BLOCK rows at a time.
 UNIT, BLOCK = 2048, 4096
 START, STOP = 0xFE, 0xFF
@@ -45,14 +50,14 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts) in chunks of about CHUNK bytes; a very long text is a chunk of its own."""
+def _chunks(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) in chunks of about so many bytes; a very long text is a chunk of its own."""
     at, texts, size = 0, [], 0
     for i, t in enumerate(batch.column("text")):
         b = _bytes(t.as_py())
         texts.append(b)
         size += len(b)
-        if size > CHUNK:
+        if size > most:
             yield at, texts
             at, texts, size = i + 1, [], 0
     if texts:
@@ -82,23 +87,50 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(bounds, start, side="right"), h.astype(np.uint64).view(np.int64)
 
 
-def counts(training: DataFrame) -> DataFrame:
-    """(kind, key, n): kind 0 counts tokens by hash, kind 1 counts (DEPTH context bytes, byte) pairs, packed with the byte lowest."""
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values and their counts; sorts in place, which spares the memory of np.unique."""
+    values.sort()
+    at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, dtype=np.int64)
+    return values[at], np.diff(at, append=len(values))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(kind, key, n) of rows (text, train): kind 0 counts tokens of training rows by hash, kind 1 and 2 count (DEPTH context bytes, byte)
+    pairs of training rows and of others, packed with the byte lowest."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batches(kind: int, k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(k), ROWS):
+                to = slice(i, i + ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[to]), kind, dtype=np.int32)), pa.array(k[to]), pa.array(n[to].astype(np.int64))], ["kind", "key", "n"])
+
         for p in parts:
-            for _, texts in _chunks(p):
-                flat, begin = _stream(texts)
-                wide = flat.astype(np.int64)
-                key = np.zeros(len(flat), dtype=np.int64)
-                for d in range(DEPTH + 1):
-                    key[d:] |= wide[: len(flat) - d] << (8 * d)
-                _, tokens = _tokens(texts)
-                for kind, values in ((0, np.concatenate([tokens, np.full(len(texts), END)])), (1, key[_places(begin, len(flat))])):
-                    k, n = np.unique(values, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, dtype=np.int32)), pa.array(k), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
+            train = p.column("train").to_numpy(zero_copy_only=False)
+            for at, texts in _chunks(p, CHUNK):
+                own = train[at : at + len(texts)]
+                doc, tokens = _tokens(texts)
+                yield from batches(0, *_runs(np.concatenate([tokens[own[doc]], np.full(int(own.sum()), END)])))
+                del doc, tokens
+                for kind, part in ((1, [t for t, o in zip(texts, own, strict=True) if o]), (2, [t for t, o in zip(texts, own, strict=True) if not o])):
+                    if part:
+                        flat, begin = _stream(part)
+                        yield from batches(kind, *_runs(_pairs(flat, _places(begin, len(flat)))))
+
+    return rows.select("text", "train").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+def _pairs(flat: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The context and byte at each place of a stream, packed with the byte lowest."""
+    key = flat[places - DEPTH].astype(np.int64)
+    for d in range(DEPTH - 1, -1, -1):
+        key <<= 8
+        key |= flat[places - d]
+    return key
+
 
-    return training.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+def counts(training: DataFrame) -> DataFrame:
+    """(kind, key, n): kind 0 counts tokens by hash, kind 1 counts (DEPTH context bytes, byte) pairs, packed with the byte lowest."""
+    return _counted(training.select("text", F.lit(True).alias("train"))).select("kind", "key", "n")
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -143,13 +175,15 @@ class Model:
         return np.add.reduceat(got, begin[:-1] - DEPTH * np.arange(len(begin) - 1)) / -UNIT
 
 
-def _collect(pairs: DataFrame, depth: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The contexts of a depth with `least` bytes or more, sorted; and (row, byte, count) of their counts."""
+def _collect(pairs: DataFrame, depth: int, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts of a depth, sorted; and (row, byte, count) of their counts. More than `contexts` are an error."""
     suffix = F.col("key").bitwiseAND((1 << (8 * (depth + 1))) - 1)
     by = pairs.groupBy(suffix.alias("k")).agg(F.sum("n").alias("n"))
     per = F.collect_list(F.struct(F.col("k").bitwiseAND(255).cast("int").alias("b"), "n"))  # 256 at most
-    grown = by.groupBy(F.shiftright("k", 8).alias("c")).agg(F.sum("n").alias("s"), per.alias("m")).where(F.col("s") >= least)
-    got = grown.select("c", F.col("m.b").alias("b"), F.col("m.n").alias("n")).toArrow().combine_chunks()
+    grown = by.groupBy(F.shiftright("k", 8).alias("c")).agg(per.alias("m"))
+    got = grown.select("c", F.col("m.b").alias("b"), F.col("m.n").alias("n")).limit(contexts + 1).toArrow().combine_chunks()
+    if got.num_rows > contexts:
+        raise ValueError(f"over {contexts} contexts of {depth} bytes: too many for a model in memory, see costs()")
     if not got.num_rows:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none
@@ -160,9 +194,12 @@ def _collect(pairs: DataFrame, depth: int, least: float) -> tuple[np.ndarray, np
     return c[order], np.repeat(place, np.diff(b.offsets.to_numpy())), b.flatten().to_numpy(), n.flatten().to_numpy()
 
 
-def fit(pairs: DataFrame, total: int, contexts: int = CONTEXTS) -> Model:
-    """The model from the counts of pairs (key, n). Brings `contexts` rows of 256 counts a depth to the driver at most."""
-    found = [_collect(pairs, d, total / contexts) for d in range(DEPTH + 1)]
+def fit(pairs: DataFrame, total: int, contexts: int = 1 << 18) -> Model:
+    """The whole model in memory, for small tables, from the counts of pairs (key, n). It is whole or an error: a depth with over
+    `contexts` contexts, or counts that are not `total` in all, are refused."""
+    found = [_collect(pairs, d, contexts) for d in range(DEPTH + 1)]
+    if (have := int(found[0][3].sum())) not in (total, 0):
+        raise ValueError(f"{have} bytes counted, not {total}")
     ids = [f[0] if d or len(f[0]) else np.zeros(1, dtype=np.int64) for d, f in enumerate(found)]
     seen = np.unique(np.concatenate([f[2] for f in found])).astype(np.int64)
     kind = np.full(256, len(seen), dtype=np.int64)
@@ -236,95 +273,249 @@ def _estimate(counts: np.ndarray) -> np.ndarray:
     return (n1 + 0.5) / (n0 + n1 + 1)
 
 
-def score(docs: DataFrame, training: DataFrame, contexts: int = CONTEXTS, words: int = WORDS) -> DataFrame:
-    """docs: (doc_id, held_out, text). Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
-    spark = docs.sparkSession
-    table = materialize(counts(training), "lm_counts")
-    of, pairs = table.where("kind = 0").select("key", "n"), table.where("kind = 1").select("key", "n")
-    n_all, v_all = of.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    n_bytes = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    model = fit(pairs, max(n_bytes, 1), contexts)
-    # the frequent tokens: the lowest count level down to which there are `words` tokens at most
+def _up(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The decisions (context, node) one byte of context up, sorted, and the place of each one's parent among them."""
+    return np.unique(((u >> 16) << 8) | (u & 255), return_inverse=True)
+
+
+@dataclass
+class _Level:
+    u: np.ndarray  # decisions: context << 8 | node, the byte nearest to the predicted one highest
+    up: np.ndarray | None  # the place of each one's parent
+    n0: np.ndarray
+    n1: np.ndarray
+    log: np.ndarray  # ln of the weighted probability
+    own: np.ndarray  # weight of the own estimate
+
+    def estimate(self) -> np.ndarray:
+        return (self.n1 + 0.5) / (self.n0 + self.n1 + 1)
+
+
+def _weighted(n0: np.ndarray, n1: np.ndarray, down: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """ln of the weighted probability and the weight of the own estimate; down: ln of the product over the children."""
+    own = _kt(n0, n1)
+    if down is None:
+        return own, np.ones(len(own))
+    return np.logaddexp(own, down) - math.log(2), 1 / (1 + np.exp(np.clip(down - own, -700, 700)))
+
+
+def _climb(levels: list[_Level], top: int, depth: int) -> tuple[np.ndarray, ...]:
+    """Adds the levels from depth - 1 to top above levels[0], which is at `depth`; returns (u, n0, n1, down) of the level above the top."""
+    while True:
+        last = levels[0]
+        u, last.up = _up(last.u)
+        n0, n1, down = (np.bincount(last.up, x, len(u)) for x in (last.n0, last.n1, last.log))
+        depth -= 1
+        if depth < top:
+            return u, n0, n1, down
+        levels.insert(0, _Level(u, None, n0, n1, *_weighted(n0, n1, down)))
+
+
+def _decisions(key: np.ndarray, t: np.ndarray) -> tuple[list[_Level], tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    """The levels of depth CUT + 1 to DEPTH over pairs of whole subtrees, what they come to at depth CUT, and for each
+    pair's eight decisions their places at depth DEPTH and their bits."""
+    byte = key & 255
+    turned = key.byteswap() & ((1 << 56) - 256)
+    all_of, bits = [], []
+    for i in range(8):
+        all_of.append(turned | (1 << i) | (byte >> (8 - i)))
+        bits.append(byte >> (7 - i) & 1)
+    bits = np.concatenate(bits)
+    u, place = np.unique(np.concatenate(all_of), return_inverse=True)
+    n = np.tile(t.astype(np.float64), 8)
+    n1 = np.bincount(place, n * bits, len(u))
+    n0 = np.bincount(place, n, len(u)) - n1
+    levels = [_Level(u, None, n0, n1, *_weighted(n0, n1, None))]
+    above = _climb(levels, CUT + 1, DEPTH)
+    return levels, above, place, bits
+
+
+def _descend(levels: list[_Level], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What stands above a decision is a + b * (the estimate from there on): from those of the parents of levels[0] to those of
+    the children of the last level."""
+    for x in levels:
+        a, b = a[x.up], b[x.up]
+        a, b = a + b * x.own * x.estimate(), b * (1 - x.own)
+    return a, b
+
+
+def _subtrees(pairs: DataFrame, each, ddl: str) -> DataFrame:
+    """each(key, n, t) gives the columns of a batch, for pairs of whole subtrees below depth CUT."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        names = [x.split()[0] for x in ddl.split(", ")]
+
+        def batch(columns: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in each(*columns)], names)
+
+        for p in parts:
+            held.append([p.column(c).to_numpy() for c in ("c", "key", "n", "t")])
+            size += p.num_rows
+            if size >= PART:
+                c, *columns = (np.concatenate(x) for x in zip(*held, strict=True))
+                if (cut := int(np.searchsorted(c, c[-1]))):
+                    yield batch([x[:cut] for x in columns])
+                held, size = [[c[cut:], *(x[cut:] for x in columns)]], len(c) - cut
+        if size:
+            yield batch([np.concatenate(x) for x in zip(*held, strict=True)][1:])
+
+    c = F.shiftright("key", 8).bitwiseAND((1 << (8 * (CUT + 1))) - 1)
+    return pairs.select(c.alias("c"), "key", "n", "t").repartition("c").sortWithinPartitions("c").mapInArrow(run, ddl)
+
+
+def costs(pairs: DataFrame) -> DataFrame:
+    """(key, n, cost) of each of the pairs (key, n, t): -log10 probability of its byte in its context, after t of it in training."""
+
+    def upwards(key: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, ...]:
+        return _decisions(key, t)[1]
+
+    part = _subtrees(pairs, upwards, "u long, n0 double, n1 double, down double")
+    got = part.groupBy("u").agg(*[F.sum(x).alias(x) for x in ("n0", "n1", "down")]).toArrow()
+    u, n0, n1, down = (got.column(x).to_numpy() for x in ("u", "n0", "n1", "down"))
+    order = np.argsort(u)
+    u, n0, n1, down = u[order], n0[order], n1[order], down[order]
+    levels = [_Level(u, None, n0, n1, *_weighted(n0, n1, down))]
+    _climb(levels, 1, CUT)
+    root, levels[0].up = _up(levels[0].u)
+    n0, n1, down = (np.bincount(levels[0].up, x, len(root)) for x in (levels[0].n0, levels[0].n1, levels[0].log))
+    first = _Level(root, np.arange(len(root)), n0, n1, *_weighted(n0, n1, down))
+    above = pairs.sparkSession.sparkContext.broadcast((u, *_descend([first, *levels], np.zeros(len(root)), np.ones(len(root)))))
+
+    def downwards(key: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, ...]:
+        u, a, b = above.value
+        levels, (own, *_), place, bits = _decisions(key, t)
+        at = np.searchsorted(u, own)
+        a, b = _descend(levels[:-1], a[at], b[at])
+        last = levels[-1]
+        p = a[last.up] + b[last.up] * last.estimate()
+        cost = -np.log10(np.where(bits, p[place], 1 - p[place])).reshape(8, -1).sum(axis=0)
+        return key, n, cost.astype(np.float32)
+
+    return _subtrees(pairs, downwards, "key long, n long, cost float")
+
+
+def _frequent(table: DataFrame, most: int) -> DataFrame | None:
+    """The rows of the largest n, down to the lowest level of n (16 levels for each doubling) at which there are `most` at most."""
     level = F.floor(F.log2("n") * 16).cast("int")
-    levels = sorted(of.groupBy(level.alias("level")).count().collect(), reverse=True)  # 16 levels for each doubling
     seen, least = 0, None
-    for x, n in levels:
+    for x, n in sorted(table.groupBy(level.alias("level")).count().collect(), reverse=True):
         seen += n
-        if seen > words:
+        if seen > most:
             break
         least = x
-    known = of.where(level >= least).toArrow() if least is not None else None
-    hashes, ns = (known.column("key").to_numpy(), known.column("n").to_numpy()) if known is not None else (np.zeros(0, np.int64),) * 2
-    order = np.argsort(hashes)
-    spread = spark.sparkContext.broadcast((model, hashes[order], ns[order]))
+    return table.where(level >= least) if least is not None else None
+
+
+def score(docs: DataFrame, training: DataFrame | None = None, pairs: int = PAIRS, words: int = WORDS) -> DataFrame:
+    """docs: (doc_id, held_out, text); training: those of them that are not held out where none is given. Returns doc_id, held_out,
+    n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+    spark = docs.sparkSession
+    train = lambda x, y: x.select("text", y.alias("train"))
+    rows = train(docs, ~F.col("held_out")) if training is None else train(docs, F.lit(False)).unionByName(train(training, F.lit(True)))
+    table = materialize(_counted(rows), "lm_counts")
+    both = table.where("kind > 0").groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("t"))
+    of = table.where("kind = 0").select("key", "n")
+    n_all, v_all = of.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    cost = materialize(costs(both), "lm_costs")
+
+    def sent(top: DataFrame | None, column: str, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        got = top.toArrow() if top is not None else None
+        keys, values, n = (got.column(x).to_numpy() for x in ("key", column, "n")) if got is not None else (np.zeros(0, np.int64), np.zeros(0, kind), np.zeros(0, np.int64))
+        order = np.argsort(-n, kind="stable")  # what is looked up most lies together
+        return keys[order], values[order].astype(kind), _index(keys[order])
+
+    spread = spark.sparkContext.broadcast((sent(_frequent(cost, pairs), "cost", np.float32), sent(_frequent(of, words), "n", np.float64)))
     norm = math.log10(n_all + v_all + 1)
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("rest", pa.list_(pa.int64()))])
+    lists = [("rest", pa.list_(pa.int64())), ("rare", pa.list_(pa.int64()))]
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("cost", pa.float64()), ("n_bytes", pa.int64()), *lists])
+
+    def listed(doc: np.ndarray, key: np.ndarray, m: int) -> pa.ListArray:
+        ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=m))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(key.astype(np.int64)))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hashes, ns = spread.value
-        where, logs = _index(hashes), np.log10(ns + 1.0)
-        end = float(logs[np.searchsorted(hashes, END)]) if len(hashes) and hashes[min(np.searchsorted(hashes, END), len(hashes) - 1)] == END else None
+        (keys, cost, key_index), (hashes, ns, hash_index) = spread.value
+        logs = np.log10(ns + 1.0)
+        end = int(_find(hash_index, hashes, np.array([END]))[0])
         for p in parts:
-            for at, texts in _chunks(p):
+            for at, texts in _chunks(p, SHORT):
                 m = len(texts)
                 flat, begin = _stream(texts)
-                total = model.score(flat, begin)
+                pair = _pairs(flat, _places(begin, len(flat)))
+                of = np.repeat(np.arange(m), np.diff(begin) - DEPTH)
+                slot = _find(key_index, keys, pair)
+                hit = slot >= 0
+                total = np.bincount(of[hit], cost[slot[hit]], m)
+                rare = listed(of[~hit], pair[~hit], m)
                 doc, token = _tokens(texts)
-                slot = where(token)
+                slot = _find(hash_index, hashes, token)
                 hit = slot >= 0
                 base, known = np.bincount(doc[hit], logs[slot[hit]], m), np.bincount(doc[hit], minlength=m)
                 n = np.bincount(doc, minlength=m) + 1
                 rest_doc, rest = doc[~hit], token[~hit]
-                if end is None:
+                if end < 0:
                     rest_doc, rest = np.concatenate([rest_doc, np.arange(m)]), np.concatenate([rest, np.full(m, END)])
                     by = np.argsort(rest_doc, kind="stable")
                     rest_doc, rest = rest_doc[by], rest[by]
                 else:
-                    base, known = base + end, known + 1
-                ends = np.concatenate([[0], np.cumsum(np.bincount(rest_doc, minlength=m))]).astype(np.int32)
+                    base, known = base + logs[end], known + 1
                 yield pa.RecordBatch.from_arrays(
-                    [p.column("doc_id").slice(at, m), p.column("held_out").slice(at, m), pa.array(n), pa.array(known), pa.array(base), pa.array(total), pa.array([len(t) for t in texts]), pa.ListArray.from_arrays(pa.array(ends), pa.array(rest.astype(np.int64)))],
+                    [p.column("doc_id").slice(at, m), p.column("held_out").slice(at, m), pa.array(n), pa.array(known), pa.array(base), pa.array(total), pa.array([len(t) for t in texts]), listed(rest_doc, rest, m), rare],
                     schema=schema,
                 )
 
-    ddl = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, rest array<long>"
+    ddl = "doc_id long, held_out boolean, n_tokens long, known long, base double, cost double, n_bytes long, rest array<long>, rare array<long>"
     made = materialize(docs.select("doc_id", "held_out", "text").mapInArrow(run, ddl).withColumn("row", F.monotonically_increasing_id()), "lm_scores")
-    rare = made.select("row", F.explode("rest").alias("key")).join(of, "key", "left").groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("plus"))
-    out = made.drop("rest").join(rare, "row", "left")
+    wanted = made.select("row", F.lit(0).alias("kind"), F.explode("rest").alias("key")).unionByName(made.select("row", F.lit(1).alias("kind"), F.explode("rare").alias("key")))
+    known = of.select(F.lit(0).alias("kind"), "key", "n", F.lit(0.0).alias("cost")).unionByName(cost.select(F.lit(1).alias("kind"), "key", F.lit(0).cast("long").alias("n"), F.col("cost").cast("double").alias("cost")))
+    token = F.col("kind") == 0
+    found = wanted.join(known, ["kind", "key"], "left").groupBy("row").agg(F.count(F.when(token, F.col("n"))).alias("more"), F.sum(F.when(token, F.log10(F.coalesce("n", F.lit(0)) + 1.0))).alias("plus"), F.sum(F.when(~token, F.col("cost"))).alias("dear"))
+    out = made.drop("rest", "rare").join(found, "row", "left").withColumn("score", -F.col("cost") - F.coalesce("dear", F.lit(0.0)))
     base = F.col("base") + F.coalesce("plus", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"), base.alias("base_score"), "score", (-F.col("score") / math.log10(2) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))
 
 
-def _index(hashes: np.ndarray):
-    """A lookup of sorted hashes: a table over their high bits leads to short runs, so that most answers take a step or two."""
-    if not len(hashes):
-        return lambda x: np.full(len(x), -1, dtype=np.int64)
-    bits = max(int(len(hashes)).bit_length() + 2, 8)
-    size = 1 << bits
-    mask = size - 1
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _slot(keys: np.ndarray, size: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((keys.view(np.uint64) * _ODD) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def _index(keys: np.ndarray) -> np.ndarray:
+    """A table of a power of two by open addressing: the places of distinct keys, -1 where none is."""
+    size = 1 << max(int(len(keys)).bit_length() + 1, 8)
     table = np.full(size, -1, dtype=np.int32)
-    place = (hashes & mask).astype(np.int64)
-    todo = np.arange(len(hashes), dtype=np.int32)
-    while len(todo):  # open addressing: those that win their place are done, the others step on
+    place = _slot(keys, size)
+    todo = np.arange(len(keys), dtype=np.int32)
+    while len(todo):  # those that win their place are done, the others step on
         free = table[place[todo]] < 0
         table[place[todo[free]]] = todo[free]
         todo = todo[table[place[todo]] != todo]
-        place[todo] = (place[todo] + 1) & mask
-
-    def find(x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), -1, dtype=np.int64)
-        left, at = np.arange(len(x)), (x & mask).astype(np.int64)
-        while len(left):
-            got = table[at]
-            same = (got >= 0) & (hashes[got] == x[left])
-            out[left[same]] = got[same]
-            on = (got >= 0) & ~same
-            left, at = left[on], (at[on] + 1) & mask
-        return out
+        place[todo] = (place[todo] + 1) & (size - 1)
+    return table
+
 
-    return find
+def _find(table: np.ndarray, keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The place of each x among the keys, -1 where it is not among them."""
+    out = np.full(len(x), -1, dtype=np.int64)
+    if not len(keys):
+        return out
+    left, at = None, _slot(x, len(table))
+    while left is None or len(left):
+        got = table[at]
+        there = x if left is None else x[left]
+        same = (got >= 0) & (keys[got] == there)
+        if left is None:
+            out[same] = got[same]
+        else:
+            out[left[same]] = got[same]
+        on = np.flatnonzero((got >= 0) & ~same)
+        left, at = on if left is None else left[on], (at[on] + 1) & (len(table) - 1)
+    return out
 
 
 def report(docs: DataFrame) -> DataFrame:
-    split = docs.select("doc_id", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), "text")
-    return score(split, split.where("NOT held_out"))
+    return score(docs.select("doc_id", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), "text"))

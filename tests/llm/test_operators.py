@@ -220,6 +220,24 @@ def test_context_tree_is_a_distribution_and_exact(spark):
     assert abs(m.score(flat, begin)[0] - want) < 0.01 * abs(want)
 
 
+def test_context_tree_keeps_rare_contexts(spark):
+    """Against the whole model in memory, whatever is broadcast: contexts that occur once among over 2^19 bytes are nodes too."""
+    rare, often = "quick zebras jump vex dwarf", "ab cd ef " * 30000
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    out, own = [i for i in range(50) if held(i)], [i for i in range(50) if not held(i)]
+    texts = dict(zip([*own[:5], *out[:2]], [often, often, rare, "ab cd ef", None, rare, "vex drawer ab"], strict=True))
+    docs = spark.createDataFrame([(i, held(i), t) for i, t in texts.items()], "doc_id long, held_out boolean, text string").repartition(3)
+    training = docs.where("NOT held_out")
+    pairs = context_tree.counts(training).where("kind = 1").select("key", "n")
+    total = pairs.agg(F.sum("n")).first()[0]
+    want = dict(zip(texts, context_tree.fit(pairs, total, 10**6).score(*context_tree._stream([(t or "").encode() for t in texts.values()])), strict=True))
+    for got in (context_tree.report(docs), context_tree.score(docs, training, pairs=40), context_tree.score(docs, pairs=0)):
+        for r in got.collect():  # the model in memory rounds each byte's cost
+            assert abs(r.score - want[r.doc_id]) < 0.01 + len(texts[r.doc_id] or "") / context_tree.UNIT
+    with pytest.raises(ValueError):
+        context_tree.fit(pairs, total, 10)
+
+
 PAGES = [(1, "https://www.A.example.com:80/en/x?q"), (2, "http://b.example.com/de/y/z"), (3, None), (4, "no url"), (5, "https://u@a.example.com/"), (5, "https://u@a.example.com/")]
 
 
