@@ -118,8 +118,9 @@ class Scan:
         self.context = docs.sparkSession.sparkContext
         self.first = self.context.broadcast(Bitmap(least.select(_first(F.col("least"))), least.count()))
 
-    def run(self, each, schema: pa.Schema, rows: int = 200_000) -> DataFrame:
-        """each(text, words) gives the columns of a text's rows but for doc_id and the text's hashes, or None."""
+    def run(self, each, schema: pa.Schema, rows: int = 50_000, fold=None) -> DataFrame:
+        """each(text, words) gives the columns of a text's rows but for doc_id and the text's hashes, or None. fold: makes another batch
+        of each batch, in the same Python worker: a second mapInArrow would be a second worker a task, with its own memory."""
         spread, own = self.first, ["doc_id", *TEXT]
 
         def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +134,8 @@ class Scan:
                     else:
                         values = [f[2][c] for f in found]
                         columns.append(pa.array(np.concatenate(values)) if isinstance(values[0], np.ndarray) else pa.array([x for v in values for x in v], schema.field(c).type))
-                return pa.RecordBatch.from_arrays(columns, schema=schema)
+                made = pa.RecordBatch.from_arrays(columns, schema=schema)
+                return fold(made) if fold else made
 
             for p in parts:
                 found, n = [], 0
@@ -151,7 +153,7 @@ class Scan:
                 if found:
                     yield batch(found)
 
-        ddl = ", ".join(f"{f.name} {'string' if pa.types.is_string(f.type) else 'boolean' if pa.types.is_boolean(f.type) else 'long'}" for f in schema)
+        ddl = ", ".join(f"{f.name} {'string' if pa.types.is_string(f.type) else 'boolean' if pa.types.is_boolean(f.type) else 'long'}" for f in schema) if not fold else "h long, n int"
         return self.docs.select("doc_id", "text", *TEXT, "_first").mapInArrow(work, ddl)
 
 
@@ -162,14 +164,13 @@ def shared_minimizers(scan: Scan) -> DataFrame:
         h = np.unique(minimizers(words[2]))
         return {"h": h} if len(h) else None
 
-    counted = scan.run(each, pa.schema([("h", pa.int64())])).mapInArrow(_folded, "h long, n int")
+    counted = scan.run(each, pa.schema([("h", pa.int64())]), 200_000, _folded)
     return counted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
-def _folded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for p in parts:
-        h, n = np.unique(p.column("h").to_numpy(), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.minimum(n, 2).astype(np.int32))], ["h", "n"])
+def _folded(p: pa.RecordBatch) -> pa.RecordBatch:
+    h, n = np.unique(p.column("h").to_numpy(), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.minimum(n, 2).astype(np.int32))], ["h", "n"])
 
 
 def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -363,6 +363,14 @@ def test_substring_dedup_of_a_wide_minimizer(spark):
     assert got == {i: 21 if i >= 5000 else 0 for i, _ in rows}
 
 
+def test_substring_dedup_counts_in_one_python_worker(spark, docs):
+    """A second mapInArrow in a stage is a second Python worker for each task, with memory of its own."""
+    keyed = substring_dedup._with_text_key(docs)
+    scan = substring_dedup.Scan(keyed, substring_dedup.copies(keyed.where("doc_id IS NOT NULL")))
+    counted = substring_dedup.shared_minimizers(scan)
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1 and counted.count() > 0
+
+
 def test_suffix_automaton():
     import random
 
