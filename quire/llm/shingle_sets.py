@@ -11,8 +11,10 @@ most shingles of those where that is the least text. A fingerprint's radius miss
 rest is found by their shingles: where over `WIDE` texts share a shingle, each of them is then
 compared with STARS of them. After that only pairs in different components are listed, so a group of
 near copies costs its size, not its square. Frequent shingles come late in the order, so that common lines rarely
-bring pairs about. What is frequent is estimated from a sample and bounded; the order only saves work and no result
-hangs on it.
+bring pairs about. Sets with no rare shingle in common share at most as many as the one with fewer frequent ones has
+of those. So texts around a frequent core that are just not alike meet by their rare shingles alone, unless both have
+room for the other by their frequent ones. What is frequent is estimated from a sample and bounded; it only saves work
+and no result hangs on it.
 
 Cases: null text is empty; texts without words are alike. Null ids take part. Shingles are compared by 64-bit hashes.
 """
@@ -69,7 +71,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def tokens(docs: DataFrame, common: np.ndarray, copied: dict[int, int]) -> DataFrame:
-    """(key, node, n): the first shingles of each set of n; common ones, sorted by how common they are, come last."""
+    """(key, node, n, c, often): the first shingles of each set of n; common ones, sorted by how common they are, come last.
+    c: the set's common ones; often: this one is common."""
     order = np.argsort(common)
     spread = docs.sparkSession.sparkContext.broadcast((common[order], order, copied))
 
@@ -80,10 +83,11 @@ def tokens(docs: DataFrame, common: np.ndarray, copied: dict[int, int]) -> DataF
             if len(hashes):
                 at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
                 rank = np.where(hashes[at] == s, place[at] + 1, 0)
-            first = s[np.argsort(rank, kind="stable")][: len(s) - (4 * len(s) + 4) // 5 + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.full(len(first), n)), pa.array(np.full(len(first), len(s), dtype=np.int64))], ["key", "node", "n"])
+            first = np.argsort(rank, kind="stable")[: len(s) - (4 * len(s) + 4) // 5 + 1]
+            same = lambda v, m=len(first): pa.array(np.full(m, v, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(s[first]), same(n), same(len(s)), same(np.count_nonzero(rank)), pa.array(rank[first] > 0)], ["key", "node", "n", "c", "often"])
 
-    return _rows(docs).mapInArrow(run, "key long, node long, n long")
+    return _rows(docs).mapInArrow(run, "key long, node long, n long, c long, often boolean")
 
 
 def _sampled(docs: DataFrame, copied: dict[int, int]) -> np.ndarray:
@@ -128,11 +132,31 @@ def _enough(x: Column, y: Column) -> Column:
     return F.floor((4 * (x + y) + 8) / 9) - F.floor((4 * F.greatest(x, y) + 4) / 5) + 1
 
 
+def _needed(x: Column, cx: Column, y: Column, cy: Column) -> Column:
+    """How many shingles sets of x and y, cx and cy of them common, must be found to share. Sets that can't be similar by common
+    ones alone are met by rare ones only; of what they must share in their first ones, only the common ones there are left out."""
+    common = lambda n, c: F.greatest(c - F.floor((4 * n + 4) / 5) + 1, F.lit(0))  # noqa: E731  among the first ones
+    alone = 9 * F.least(cx, cy) >= 4 * (x + y)
+    return F.when(alone, _enough(x, y)).otherwise(F.greatest(_enough(x, y) - F.least(common(x, cx), common(y, cy)), F.lit(1)))
+
+
+def _rivals(rooted: DataFrame) -> DataFrame:
+    """(key, node, n, c, root, room) of those that may be similar to a node of another component because of this key. room: the
+    size of the largest set that one can be similar to with common shingles alone; no bound where the key is rare."""
+    by = W.partitionBy("key")
+    t = rooted.select("key", "node", "n", "c", "root", F.when(F.col("often"), F.floor(9 * F.col("c") / 4) - F.col("n")).otherwise(F.lit(1 << 40)).alias("room"))
+    t = t.select("*", F.max(F.struct("room", "root")).over(by).alias("most"), F.min(F.struct("n", "root")).over(by).alias("least"))
+    second = lambda f, m, v: f(F.when(F.col("root") != F.col(f"{m}.root"), F.col(v))).over(by)
+    t = t.select("*", second(F.max, "most", "room").alias("room2"), second(F.min, "least", "n").alias("n2"))
+    others = lambda m, v: F.when(F.col("root") == F.col(f"{m}.root"), F.col(f"{v}2")).otherwise(F.col(f"{m}.{v}"))
+    return t.where((F.col("n") <= others("most", "room")) & (F.col("room") >= others("least", "n"))).drop("most", "least", "room2", "n2")
+
+
 def _rooted(shared: DataFrame, stars: DataFrame, label: str) -> DataFrame:
-    """(key, node, n, size, root) of the keys that nodes of several components share, written."""
+    """(key, node, n, c, often, size, root) of the keys that nodes of several components share, written."""
     roots = components(stars, f"{label}_roots")
     by = W.partitionBy("key")
-    rooted = shared.select("key", "node", "n", "size").join(roots, "node", "left").select("key", "node", "n", "size", F.coalesce("root", "node").alias("root"))
+    rooted = shared.select("key", "node", "n", "c", "often", "size").join(roots, "node", "left").select("key", "node", "n", "c", "often", "size", F.coalesce("root", "node").alias("root"))
     rooted = rooted.select("*", F.min("root").over(by).alias("lo"), F.max("root").over(by).alias("hi")).where("lo <> hi").drop("lo", "hi")
     return materialize(rooted, f"{label}_rooted")
 
@@ -152,8 +176,8 @@ def links(docs: DataFrame, copied: dict[int, int] | None = None) -> DataFrame:
     by = W.partitionBy("key")
     least, most, size = F.min(F.struct("node", "n")).over(by), F.max("node").over(by), F.count(F.lit(1)).over(by)
     # a node may come from several tasks
-    found = tokens(docs, _sampled(docs, copied), copied).select("key", "node", "n", least.alias("least"), most.alias("most"), size.alias("size")).where("least.node <> most")
-    shared = materialize(found.select("key", "node", "n", "least", "size").distinct(), "shingles_shared")
+    found = tokens(docs, _sampled(docs, copied), copied).select("key", "node", "n", "c", "often", least.alias("least"), most.alias("most"), size.alias("size")).where("least.node <> most")
+    shared = materialize(found.select("key", "node", "n", "c", "often", "least", "size").distinct(), "shingles_shared")
     x, y = F.col("n"), F.col("least.n")
     best = shared.where((F.col("node") != F.col("least.node")) & _near(x, y)).groupBy("node", "n", "least").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= _enough(x, y))
     best = best.groupBy("node").agg(F.max(F.struct("c", F.col("least.node").alias("a"))).alias("m"))
@@ -162,20 +186,26 @@ def links(docs: DataFrame, copied: dict[int, int] | None = None) -> DataFrame:
     rooted = _rooted(shared, stars, "shingles")
     release(shared)
     if not rooted.where(F.col("size") > WIDE).isEmpty():
-        # of each such key STARS nodes by as many orders that hold for all keys; each node keeps the STARS it meets most often
-        stars_of = F.array(*[F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "n", "root")).over(by) for i in range(STARS)])
+        # of each such key STARS nodes by as many orders that hold for all keys, the first by how little but common shingles a
+        # set has, as the middle of a group does; each node keeps the STARS it meets most often
+        middle = -(F.floor(F.col("c") * (1 << 20) / F.col("n")) * (1 << 32) + F.col("c"))
+        orders = [middle, *[F.xxhash64(F.lit(i), "node") for i in range(1, STARS)]]
+        stars_of = F.array(*[F.min(F.struct(h.alias("h"), "node", "n", "root")).over(by) for h in orders])
         other = rooted.where(F.col("size") > WIDE).withColumn("stars", stars_of).withColumn("star", F.explode("stars")).where((F.col("root") != F.col("star.root")) & _near(F.col("n"), F.col("star.n")))
         met = other.groupBy("node", F.col("star.node").alias("a")).agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "a")), asc=False).alias("m"))
         pairs = met.select("node", F.explode(F.slice("m", 1, STARS)).alias("m")).select(F.least("node", "m.a").alias("a"), F.greatest("node", "m.a").alias("b")).distinct()
         stars = stars.unionByName(verified(pairs, docs, copied, "shingle_wide"))
         first, rooted = rooted, _rooted(rooted, stars, "shingles_wide")
         release(first)
-    other = rooted.select("key", F.col("root").alias("root2")).distinct()
-    one = rooted.join(other, "key").where("root < root2").select("key", "root2", F.col("node").alias("x"), F.col("n").alias("nx"))
-    two = rooted.select("key", F.col("root").alias("root2"), F.col("node").alias("y"), F.col("n").alias("ny"))
-    met = one.join(two, ["key", "root2"]).where(_near(F.col("nx"), F.col("ny"))).groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
-    rest = verified(met.where(F.col("c") >= _enough(F.col("nx"), F.col("ny"))), docs, copied, "shingle_pairs")
+    rivals = materialize(_rivals(rooted), "shingles_rivals")
     release(rooted)
+    other = rivals.groupBy("key", F.col("root").alias("root2")).agg(F.max("room").alias("most"), F.min("n").alias("least"))
+    one = rivals.join(other, "key").where("root < root2 AND n <= most AND room >= least").select("key", "root2", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("room").alias("rx"))
+    two = rivals.select("key", F.col("root").alias("root2"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("room").alias("ry"))
+    met = one.join(two, ["key", "root2"]).where(_near(F.col("nx"), F.col("ny")) & (F.col("nx") <= F.col("ry")) & (F.col("ny") <= F.col("rx")))
+    met = met.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count(F.lit(1)).alias("m"), *[F.first(v).alias(v) for v in ("nx", "cx", "ny", "cy")])
+    rest = verified(met.where(F.col("m") >= _needed(F.col("nx"), F.col("cx"), F.col("ny"), F.col("cy"))), docs, copied, "shingle_pairs")
+    release(rivals)
     return stars.unionByName(rest)
 
 

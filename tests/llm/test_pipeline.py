@@ -126,3 +126,49 @@ def test_null_and_repeated_ids(spark, sf):
     assert texts(out) == sorted([("None", good), ("None", safe), ("1", safe), ("1", "x " * 9 + safe), ("1", other)])
     mixed = p.mix(spark, make([(None, good), (1, other), (1, words(3))]), sf).collect()
     assert sorted(str(r.doc_id) for r in mixed) == ["1", "1", "None"] and all(r["size"] == 80 for r in mixed)
+
+
+def test_near_duplicates_around_a_core(spark, sf, monkeypatch):
+    """Texts around one core, many of them just not alike: against brute force, and with few pairs compared after the stars."""
+    import random
+
+    import numpy as np
+
+    from quire.llm import shingle_sets
+
+    r = random.Random(11)
+    core, n = [f"w{i}" for i in range(150)], 0
+    texts = [list(core)]
+    for i in range(500):
+        t = list(core)
+        for _ in range(1 + i % 8):  # over three words apart is not alike
+            at, n = r.randrange(len(t)), n + 1
+            t[at : at + 1] = [f"new{n}"] if i % 40 else [[], [f"new{n}", f"more{n}"]][n % 2]
+        texts.append(t)
+    for k in range(20):  # alike to each other, not to the core: by shingles of their own, or by the core's alone
+        t = list(core)
+        for at in range(3, 150, 20):
+            t[at] = f"pair{k}x{at}"
+        texts += [t, [*t[:70], "odd", *t[71:]]]
+        texts += [core[:100] if k % 2 else core[50:], core[k : 100 + k // 2]]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "a", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    sets = [{tuple(t[i : i + 5]) for i in range(max(len(t) - 4, 1))} for t in texts]
+    every = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(sets), len(every)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        m[i, [every[g] for g in s]] = 1
+    size = m.sum(axis=1)
+    alike, least = 9 * (m @ m.T) >= 4 * (size[:, None] + size), np.arange(len(sets))
+    while (now := np.where(alike, least, len(sets)).min(axis=1)).tolist() != least.tolist():
+        least = now
+    listed = {}
+    whole = shingle_sets.verified
+
+    def counted(pairs, docs, copied, label):
+        listed[label] = pairs.count()
+        return whole(pairs, docs, copied, label)
+
+    monkeypatch.setattr(shingle_sets, "verified", counted)
+    got = sorted(x.doc_id for x in p.near_duplicates(spark, docs, sf).collect())
+    assert got == sorted(set(least.tolist())) and len(set(least.tolist())) > 200
+    assert listed["shingle_pairs"] < len(texts)
